@@ -119,14 +119,17 @@ def assign_segments(pairs: DataFrame, size: int, threshold: float | None = TOLER
         F.transform("pairs", lambda p: p["ref_id"].cast("int")).alias("refs"),
         F.transform("pairs", lambda p: -p["cost"]).alias("sims"),
     )
-    solved = packed.select(KEY, _solve("lines", "refs", "sims").alias("m"))
+    solved = packed.select(KEY, _solver()("lines", "refs", "sims").alias("m"))
     return _threshold(solved.select(KEY, F.inline(F.arrays_zip("m.line_id", "m.ref_id", "m.similarity"))), threshold)
 
 
-@F.pandas_udf("struct<line_id:array<int>,ref_id:array<int>,similarity:array<double>>")
-def _solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for lines, refs, sims in batches:
-        yield solve_batch(lines, refs, sims)
+def _solver():
+    @F.pandas_udf("struct<line_id:array<int>,ref_id:array<int>,similarity:array<double>>")
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lines, refs, sims in batches:
+            yield solve_batch(lines, refs, sims)
+
+    return solve
 
 
 def solve_batch(lines, refs, sims) -> pd.DataFrame:
