@@ -35,8 +35,11 @@ def normal(tag: str, seed: int, *keys: Column) -> Column:
 
 
 def seeded_order(key: Column, seed: int) -> Column:
-    """Arithmetic shuffle order in [0, ORDER_MODULUS); ties are broken by the key."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(ORDER_MODULUS))
+    """Arithmetic shuffle order in [0, ORDER_MODULUS); ties are broken by the key.
+
+    The key is reduced first, which leaves the result as it is and cannot overflow.
+    """
+    return F.pmod(F.pmod(key, F.lit(ORDER_MODULUS)) * F.lit(2654435761) + F.lit(seed), F.lit(ORDER_MODULUS))
 
 
 def preset_range(feature: Column) -> Column:

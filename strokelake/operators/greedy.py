@@ -84,7 +84,8 @@ def greedy_owner(
     keys, columns, names = list(keys), list(columns), list(cells)
     place = keys + names
     rows = with_cells(df, cells).select(*place, rank.alias("w__rank"), *(F.col(c).alias(f"w_{c}") for c in columns))
-    strong = spread(kept, names).select(*place, *(F.col(c).alias(f"s_{c}") for c in ["_rank", *columns]))
+    known = [c for c in columns if c in kept.columns]
+    strong = spread(kept, names).select(*place, *(F.col(c).alias(f"s_{c}") for c in ["_rank", *known]))
     hit = (F.col("s__rank") == F.col("w__rank")) | ((F.col("s__rank") < F.col("w__rank")) & conflict("s_", "w_"))
     pairs = rows.join(strong, place).where(hit)
     chosen = pairs.groupBy(*keys, "w__rank").agg(

@@ -332,37 +332,36 @@ def _find_lines(cfg: Detector):
 def find_lines(packed: np.ndarray, cfg: Detector = DETECTOR) -> list[tuple]:
     """Votes, longest run on the strongest lines, overlap test, erase; strict rounds, then relaxed."""
     packed = np.asarray(packed)
-    points = np.stack([packed % SPAN, packed // SPAN], axis=1).astype(float)
-    kept: list[tuple] = []
+    points = np.stack([packed % SPAN, packed // SPAN], axis=1).astype(np.float64)
     turns = np.radians(np.arange(180))
     normals = np.stack([np.cos(turns), np.sin(turns)])
+    rho = np.floor(points @ normals + 0.5).astype(np.int32)
+    kept: list[tuple] = []
     for step in range(cfg.rounds):
         strict = step < cfg.strict_rounds
         votes_needed = cfg.strict_votes if strict else cfg.relaxed_votes
         length_needed = cfg.strict_length if strict else cfg.relaxed_length
-        best = _longest_run(points, normals, votes_needed, length_needed, cfg.max_gap) if len(points) else None
+        best = _longest_run(points, rho, normals, votes_needed, length_needed, cfg.max_gap) if len(points) else None
         if best is None:
             break
         if not any(_alike(best, other, cfg) for other in kept):
             kept.append(best)
-        points = points[_distance_to(points, best) > cfg.erase_radius]
+        far = _distance_to(points, best) > cfg.erase_radius
+        points, rho = points[far], rho[far]
         if len(kept) >= cfg.max_lines:
             break
     return [s for s in kept if np.hypot(s[2] - s[0], s[3] - s[1]) >= cfg.final_length]
 
 
-def _longest_run(points, normals, votes_needed, length_needed, max_gap, tried: int = 40):
-    rho = np.floor(points @ normals + 0.5).astype(int)
-    base = rho.min()
-    cell = (rho - base) + np.arange(normals.shape[1]) * (rho.max() - base + 1)
-    votes = np.bincount(cell.ravel())
+def _longest_run(points, rho, normals, votes_needed, length_needed, max_gap, tried: int = 40):
+    base = int(rho.min())
+    width = int(rho.max()) - base + 1
+    votes = np.bincount(((rho - base) + np.arange(rho.shape[1], dtype=np.int32) * width).ravel())
     strong = np.flatnonzero(votes >= votes_needed)
-    if not len(strong):
-        return None
     longest, best = -1.0, None
-    for c in strong[np.argsort(-votes[strong], kind="stable")][:tried]:
-        turn = c // (rho.max() - base + 1)
-        on = points[np.abs(points @ normals[:, turn] - (c % (rho.max() - base + 1) + base)) <= 1.0]
+    for cell in strong[np.argsort(-votes[strong], kind="stable")][:tried]:
+        turn, level = divmod(int(cell), width)
+        on = points[np.abs(rho[:, turn] - (level + base)) <= 1]
         along = on @ np.array([-normals[1, turn], normals[0, turn]])
         order = np.argsort(along, kind="stable")
         on, along = on[order], along[order]
