@@ -147,7 +147,7 @@ def catalogue_entry(
         F.lit(feature).alias("target_feature"),
         F.lit(mode).alias("training_mode"),
         record(config).alias("training_config"),
-        record({k: (v if v is not None else None) for k, v in scaler_record.items()}).alias("normalization"),
+        record(scaler_record).alias("normalization"),
         facts.alias("dataset"),
         by_split.alias("metrics"),
         curve.alias("training_history"),

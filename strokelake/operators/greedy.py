@@ -47,8 +47,11 @@ def greedy_keep(
     """
     keys, columns, names = list(keys), list(columns), list(cells)
     place = keys + names
-    open_rows = with_cells(df, cells).select(*place, rank.alias("_rank"), *columns)
-    kept = None
+    rows = with_cells(df, cells).select(*place, rank.alias("_rank"), *columns)
+    open_rows = cut(_in_conflict(rows, keys, names, columns, conflict))
+    kept = rows.join(open_rows.select(*keys, "_rank"), [*keys, "_rank"], "left_anti").select(*place, "_rank", *columns)
+    if open_rows.isEmpty():
+        return kept
     rounds = 0
     while True:
         payload = F.struct("_rank", *columns)
@@ -56,7 +59,7 @@ def greedy_keep(
         heads = heads.select(*place, "_h.*")
         best = spread(heads.select(*place, "_rank"), names).groupBy(*place).agg(F.min("_rank").alias("_best"))
         winners = heads.join(best, place).where(F.col("_rank") == F.col("_best")).drop("_best")
-        kept = winners if kept is None else kept.unionByName(winners)
+        kept = kept.unionByName(winners)
         strong = spread(winners, names).select(*place, *(F.col(c).alias(f"s_{c}") for c in ["_rank", *columns]))
         weak = open_rows.select(*place, *(F.col(c).alias(f"w_{c}") for c in ["_rank", *columns]))
         hit = (F.col("s__rank") == F.col("w__rank")) | conflict("s_", "w_")
@@ -70,6 +73,18 @@ def greedy_keep(
             kept = cut(kept)
 
 
+def _in_conflict(rows: DataFrame, keys: list[str], names: list[str], columns: list[str], conflict: Conflict) -> DataFrame:
+    """Rows with at least one conflict; a semi-join stops at the first one it finds."""
+    near = names[:2]
+    other = spread(rows.select(*keys, *near, "_rank", *columns), near)
+    other = other.select(*(F.col(c).alias(f"s_{c}") for c in [*keys, *near, "_rank", *columns]))
+    mine = rows.select(*(F.col(c).alias(f"w_{c}") for c in [*keys, *names, "_rank", *columns]))
+    same = [F.col(f"w_{c}") == F.col(f"s_{c}") for c in keys + near]
+    differ = F.col("s__rank") != F.col("w__rank")
+    hits = mine.join(other, [*same, differ & (conflict("s_", "w_") | conflict("w_", "s_"))], "left_semi")
+    return hits.select(*(F.col(f"w_{c}").alias(c) for c in [*keys, *names, "_rank", *columns]))
+
+
 def greedy_owner(
     df: DataFrame,
     kept: DataFrame,

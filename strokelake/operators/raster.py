@@ -31,12 +31,17 @@ def explode_pixels(images: DataFrame, key: str = KEY) -> DataFrame:
 
     Transparent pixels are laid over white.
     """
-    n = F.col("nChannels")
-    at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
-    rows = images.select(key, "width", "nChannels", F.hex("data").alias("h"), at)
+    # image rows first, pixels second: a pixel row then carries only its own image row's bytes
+    n, w = F.col("nChannels"), F.col("width")
+    lines = images.select(
+        key, "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
+    ).select(key, "width", "nChannels", "y", F.substring("data", F.col("y") * w * n + 1, w * n).alias("line"))
+    rows = lines.select(
+        key, "y", "nChannels", "line", F.explode(F.sequence(F.lit(0), w - 1)).alias("x")
+    ).select(key, "x", "y", "nChannels", F.hex(F.substring("line", F.col("x") * n + 1, n)).alias("h"))
 
     def channel(c: Column) -> Column:
-        return F.conv(F.substring(F.col("h"), (F.col("i") * n + c) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.conv(F.substring(F.col("h"), c * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     blue, green, red = channel(F.lit(0)), channel(F.least(n - 1, F.lit(1))), channel(F.least(n - 1, F.lit(2)))
     alpha = F.when(n == 4, channel(F.lit(3)) / 255.0).otherwise(1.0)
@@ -46,8 +51,8 @@ def explode_pixels(images: DataFrame, key: str = KEY) -> DataFrame:
 
     return rows.select(
         key,
-        (F.col("i") % F.col("width")).cast("int").alias("x"),
-        F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
+        "x",
+        "y",
         over_white(red).alias("r"),
         over_white(green).alias("g"),
         over_white(blue).alias("b"),
@@ -179,7 +184,9 @@ def rasterise(seg: DataFrame, canvas: Canvas = CANVAS, keys: tuple[str, ...] = (
     """Ink pixels of segments, sampled once per step of the longer axis."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     steps = F.greatest(F.abs(dx), F.abs(dy)).cast("int")
-    rows = seg.select(*keys, "x1", "y1", dx.alias("dx"), dy.alias("dy"), steps.alias("n"), F.explode(F.sequence(F.lit(0), steps)).alias("i"))
+    # a segment grows to some hundred pixels: spread segments before they grow, large drawings included
+    spread = seg.repartition(*keys, "x1", "y1", "x2", "y2")
+    rows = spread.select(*keys, "x1", "y1", dx.alias("dx"), dy.alias("dy"), steps.alias("n"), F.explode(F.sequence(F.lit(0), steps)).alias("i"))
 
     # half-up rounding on whole numbers keeps every engine on the same pixel
     def at(start: str, delta: str) -> Column:

@@ -3,3 +3,4 @@
 from strokelake.plans import queries_tables  # noqa: F401
 from strokelake.plans import queries_labels  # noqa: F401
 from strokelake.plans import queries_segments  # noqa: F401
+from strokelake.plans import queries_models  # noqa: F401
