@@ -61,20 +61,39 @@ def _halved(value: Column) -> Column:
     return (value * 0.5).cast("int")
 
 
+def with_safety(df: DataFrame, out: str, canvas: Canvas = CANVAS, margin: int = AUGMENTATION.safety_margin) -> DataFrame:
+    """:func:`is_safe` of the row's parameters, with its shared parts as columns of their own.
+
+    Written as one expression the margin would be spelled out four times, and the generated
+    method grows past what the JVM compiles.
+    """
+    r, tx, ty, s = (F.col(c) for c in PARAMS)
+    span = F.greatest(F.col("y_max") - F.col("y_min") + 1, F.col("x_max") - F.col("x_min") + 1)
+    turned = F.floor(F.col("_span") * F.sin(F.radians(F.abs(r))) * 0.5)
+    grown = F.when(s > 1, F.floor(F.col("_span") * (s - 1.0) * 0.5)).otherwise(0)
+    need = F.col("_need")
+    fits = (
+        (F.col("y_min") >= need + F.greatest(-ty, F.lit(0)))
+        & (canvas.height - F.col("y_max") - 1 >= need + F.greatest(ty, F.lit(0)))
+        & (F.col("x_min") >= need + F.greatest(-tx, F.lit(0)))
+        & (canvas.width - F.col("x_max") - 1 >= need + F.greatest(tx, F.lit(0)))
+    )
+    rows = df.withColumn("_span", span).withColumn("_need", margin + turned + grown)
+    return rows.withColumn(out, F.coalesce(fits, F.lit(True))).drop("_span", "_need")
+
+
 def soften(df: DataFrame, canvas: Canvas = CANVAS) -> DataFrame:
     """Back off unsafe parameters: half rotation and shift; if that is unsafe too, half again and half the scaling."""
     r, tx, ty, s = (F.col(c) for c in PARAMS)
-    safe = is_safe(r, tx, ty, s, canvas)
-    one = df.withColumns(
+    safe, again = F.col("_safe"), ~F.col("_safe") & ~F.col("_safe2")
+    one = with_safety(df, "_safe", canvas).withColumns(
         {
-            "_safe": safe,
             "rotation": F.when(safe, r).otherwise(r * 0.5),
             "tx": F.when(safe, tx).otherwise(_halved(tx)),
             "ty": F.when(safe, ty).otherwise(_halved(ty)),
         }
     )
-    again = ~F.col("_safe") & ~is_safe(r, tx, ty, s, canvas)
-    two = one.withColumns(
+    two = with_safety(one, "_safe2", canvas).withColumns(
         {
             "rotation": F.when(again, r * 0.5).otherwise(r),
             "tx": F.when(again, _halved(tx)).otherwise(tx),
@@ -82,7 +101,7 @@ def soften(df: DataFrame, canvas: Canvas = CANVAS) -> DataFrame:
             "scale": F.when(again, 1.0 + (s - 1.0) * 0.5).otherwise(s),
         }
     )
-    return two.withColumn("safety_adjusted", ~F.col("_safe")).drop("_safe")
+    return two.withColumn("safety_adjusted", ~safe).drop("_safe", "_safe2")
 
 
 def apply_affine(seg: DataFrame, canvas: Canvas = CANVAS) -> DataFrame:
@@ -107,47 +126,65 @@ def displacement_bound(at: float, size: int, cfg: Augmentation = AUGMENTATION) -
     return int(room)
 
 
-def drawn_displacements(seed: int, canvas: Canvas = CANVAS, cfg: Augmentation = AUGMENTATION) -> list[tuple[Column, Column]]:
-    who = [F.col(KEY), F.col("aug_idx")]
-    out = []
-    for i, (cx, cy) in enumerate(control_points(canvas)):
-        bx, by = displacement_bound(cx, canvas.width, cfg), displacement_bound(cy, canvas.height, cfg)
-        out.append((uniform_int(-bx, bx + 1, f"warp-x{i}", seed, *who), uniform_int(-by, by + 1, f"warp-y{i}", seed, *who)))
-    return out
+def with_displacements(df: DataFrame, seed: int, canvas: Canvas = CANVAS, cfg: Augmentation = AUGMENTATION) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """Whole-pixel displacements of the control points, drawn from the sample.
 
+    Six ten-bit draws come out of one hash, so a row hashes three times, not eighteen.
+    """
+    points = control_points(canvas)
+    bounds = [displacement_bound(at, size, cfg) for p in points for at, size in zip(p, (canvas.width, canvas.height))]
+    hashes = {f"_h{k}": F.xxhash64(F.lit(f"warp-{k}"), F.lit(seed), KEY, "aug_idx") for k in range((len(bounds) + 5) // 6)}
+    draws = []
+    for n, bound in enumerate(bounds):
+        bits = F.shiftrightunsigned(F.col(f"_h{n // 6}"), 10 * (n % 6)).bitwiseAND(F.lit(1023))
+        draws.append(F.pmod(bits, F.lit(2 * bound + 1)) - bound)
+    return df.withColumns(hashes), list(zip(draws[::2], draws[1::2]))
 
-def local_warp(
-    x: Column, y: Column, moves: list[tuple[Column, Column]], canvas: Canvas = CANVAS, cfg: Augmentation = AUGMENTATION
-) -> tuple[Column, Column]:
-    """Shift a point by the inverse-square-distance mean of nine control displacements.
 
-    The shift fades to nothing over the edge band, and the point stays on the canvas.
+def local_warp(
+    df: DataFrame,
+    points: list[tuple[str, str]],
+    moves: list[tuple[Column, Column]],
+    canvas: Canvas = CANVAS,
+    cfg: Augmentation = AUGMENTATION,
+) -> DataFrame:
+    """Shift point columns by the inverse-square-distance mean of nine control displacements.
+
+    The shift fades to nothing over the edge band, and the points stay on the canvas. Draws,
+    weights and totals are columns of their own steps, so that none is computed twice.
     """
-    weights = [1.0 / F.pow(F.greatest(G.distance(x, y, F.lit(cx), F.lit(cy)), F.lit(1e-6)), 2) for cx, cy in control_points(canvas)]
-    total, sum_x, sum_y = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for w, (dx, dy) in zip(weights, moves):
-        total, sum_x, sum_y = total + w, sum_x + w * dx, sum_y + w * dy
+    columns = df.columns
+    flat = {f"_m{i}{axis}": c for i, pair in enumerate(moves) for axis, c in zip("xy", pair)}
+    df = df.withColumns(flat)
+    weights = {}
+    for k, (x, y) in enumerate(points):
+        for i, (cx, cy) in enumerate(control_points(canvas)):
+            dx, dy = F.col(x) - cx, F.col(y) - cy
+            weights[f"_w{k}_{i}"] = 1.0 / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
+    df = df.withColumns(weights)
 
     def fade(at: Column, size: int) -> Column:
         edge = float(cfg.warp_edge)
         return G.clip(F.least((at - edge) / edge, (size - 1 - at - edge) / edge), 0.0, 1.0)
 
-    return (
-        G.clip(x + sum_x / total * fade(x, canvas.width), 0.0, float(canvas.width - 1)),
-        G.clip(y + sum_y / total * fade(y, canvas.height), 0.0, float(canvas.height - 1)),
-    )
-
+    def plus(parts: list[Column]) -> Column:
+        total = parts[0]
+        for part in parts[1:]:
+            total = total + part
+        return total
 
-def warp_segments(seg: DataFrame, moves: list[tuple[Column, Column]], when: Column, canvas: Canvas = CANVAS) -> DataFrame:
-    a = local_warp(F.col("x1"), F.col("y1"), moves, canvas)
-    b = local_warp(F.col("x2"), F.col("y2"), moves, canvas)
-    return seg.withColumns(
-        {c: F.when(when, moved).otherwise(F.col(c).cast("double")) for c, moved in zip(ENDS, (*a, *b))}
-    )
+    out = {}
+    for k, point in enumerate(points):
+        w = [F.col(f"_w{k}_{i}") for i in range(len(moves))]
+        for axis, name, size in zip("xy", point, (canvas.width, canvas.height)):
+            shift = plus([wi * F.col(f"_m{i}{axis}") for i, wi in enumerate(w)]) / plus(w)
+            at = F.col(name)
+            out[name] = G.clip(at + shift * fade(at, size), 0.0, float(size - 1))
+    return df.withColumns(out).select(*columns)
 
 
-def sample_bounds(seg: DataFrame) -> DataFrame:
-    return seg.groupBy(*SAMPLE, "kind").agg(
+def sample_bounds(seg: DataFrame, keys: list[str]) -> DataFrame:
+    return seg.groupBy(*keys).agg(
         F.min(F.least("x1", "x2")).alias("x_min"),
         F.min(F.least("y1", "y2")).alias("y_min"),
         F.max(F.greatest("x1", "x2")).alias("x_max"),
@@ -158,25 +195,48 @@ def sample_bounds(seg: DataFrame) -> DataFrame:
 def augmented_segments(
     seg: DataFrame, seed: int, n: int = AUGMENTATION.variants, canvas: Canvas = CANVAS
 ) -> tuple[DataFrame, DataFrame]:
-    """Segments of all samples, and one parameter row per sample (null parameters for originals)."""
-    fanned = fan_out(seg, n)
-    # the warp reads its displacements from the sample, drawn once per row and reused for both ends
-    moves = drawn_displacements(seed, canvas)
-    packed = fanned.withColumn("_mv", F.struct(*(c.alias(f"m{i}") for i, c in enumerate(m for pair in moves for m in pair))))
-    held = [(F.col(f"_mv.m{2 * i}"), F.col(f"_mv.m{2 * i + 1}")) for i in range(len(moves))]
-    warped = warp_segments(packed, held, F.col("kind") == "warp+global", canvas).drop("_mv")
-    params = soften(draw_params(sample_bounds(warped), seed), canvas)
-    original = F.col("kind") == "original"
-    params = params.select(
-        *SAMPLE, "kind", *(F.when(~original, F.col(c)).alias(c) for c in [*PARAMS, "safety_adjusted"])
+    """Segments of all samples, and one parameter row per sample (null parameters for originals).
+
+    Whole-drawing variants share their drawing's box, so they are joined to it before the fan-out
+    and draw their parameters in place. Only warped variants need a box of their own.
+    """
+    lines = seg.select(KEY, "line_id", *ENDS)
+    kinds = ["original", "global"]
+
+    def fanned(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = fan_out(df, n)
+        return rows.where(F.col("kind").isin(kinds)), rows.where(~F.col("kind").isin(kinds))
+
+    boxes = sample_bounds(lines, [KEY])
+    still, _ = fanned(lines.join(boxes, KEY))
+    _, bent = fanned(lines)
+    doubles = bent.withColumns({c: F.col(c).cast("double") for c in ENDS})
+    hashed, moves = with_displacements(doubles, seed, canvas)
+    bent = local_warp(hashed, [("x1", "y1"), ("x2", "y2")], moves, canvas)
+    bent = bent.select(*SAMPLE, "kind", "line_id", *ENDS)
+    bent_boxes = sample_bounds(bent, [*SAMPLE, "kind"])
+    bent_params = soften(draw_params(bent_boxes, seed), canvas)
+
+    ends = dict(zip(ENDS, (canvas.width, canvas.height, canvas.width, canvas.height)))
+
+    def moved(df: DataFrame) -> DataFrame:
+        held = {c: G.clip(F.col(c), 0.0, float(size - 1)) for c, size in ends.items()}
+        return apply_affine(df, canvas).withColumns(held).select(*SAMPLE, "line_id", "kind", *ENDS)
+
+    original = still.where(F.col("kind") == "original").select(
+        *SAMPLE, "line_id", "kind", *(F.col(c).cast("double").alias(c) for c in ENDS)
     )
-    joined = warped.drop("kind").join(params, SAMPLE)
-    ends = {"x1": canvas.width, "y1": canvas.height, "x2": canvas.width, "y2": canvas.height}
-    kept = joined.where(original).select(*SAMPLE, "line_id", "kind", *ENDS)
-    shifted = apply_affine(joined.where(~original), canvas).select(
-        *SAMPLE, "line_id", "kind", *(G.clip(F.col(c), 0.0, float(size - 1)).alias(c) for c, size in ends.items())
+    plain = moved(soften(draw_params(still.where(F.col("kind") == "global"), seed), canvas))
+    warped = moved(bent.drop("kind").join(bent_params, SAMPLE))
+
+    no_params = fan_out(boxes, n).where(F.col("kind").isin(kinds))
+    whole = soften(draw_params(no_params, seed), canvas)
+    used = [*PARAMS, "safety_adjusted"]
+    keep = F.col("kind") != "original"
+    params = whole.select(*SAMPLE, "kind", *(F.when(keep, F.col(c)).alias(c) for c in used)).unionByName(
+        bent_params.select(*SAMPLE, "kind", *used)
     )
-    return kept.unionByName(shifted), params
+    return original.unionByName(plain).unionByName(warped), params
 
 
 def augmented_samples(

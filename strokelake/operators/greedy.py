@@ -26,8 +26,8 @@ def with_cells(df: DataFrame, cells: Mapping[str, tuple[Column, float]]) -> Data
 def spread(df: DataFrame, cells: Sequence[str], steps: Sequence[tuple[int, ...]] | None = None) -> DataFrame:
     """Repeat each row in its own and the neighbouring cells (a fixed 3^d rows)."""
     steps = steps or list(product((-1, 0, 1), repeat=len(cells)))
-    shift = F.array(*(F.struct(*(F.lit(v).alias(f"_d{i}") for i, v in enumerate(step))) for step in steps))
-    rows = df.select("*", F.inline(shift))
+    structs = ", ".join("struct(" + ", ".join(f"{v} AS _d{i}" for i, v in enumerate(step)) + ")" for step in steps)
+    rows = df.select("*", F.expr(f"inline(array({structs}))"))
     moved = {c: F.col(c) + F.col(f"_d{i}") for i, c in enumerate(cells)}
     return rows.withColumns(moved).drop(*(f"_d{i}" for i in range(len(cells))))
 

@@ -17,6 +17,7 @@ REF_KEY = "reference_id"
 MAX_TEMPLATE = 64
 EXACT_MASK = 12  # templates (or drawings) up to this size use the subset table
 BIG = 1e6
+SMALL_DRAWING = 64  # a drawing's pair list is built directly up to here, and pruned beyond
 
 
 def template_arrays(ref: DataFrame) -> DataFrame:
@@ -69,18 +70,29 @@ def prune_candidates(pairs: DataFrame, template_size: int) -> DataFrame:
     return pairs.withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= template_size).drop("_p")
 
 
+def split_by_size(seg: DataFrame, limit: int = SMALL_DRAWING) -> tuple[DataFrame, DataFrame]:
+    """Segments of drawings with at most ``limit`` segments, brought together, and those of larger ones."""
+    large = seg.groupBy(KEY).agg(count_rows().alias("_n")).where(F.col("_n") > limit).select(KEY)
+    small = seg.join(large, KEY, "left_anti").repartition(KEY)
+    return small, seg.join(large, KEY, "left_semi")
+
+
 def template_size(ref: DataFrame) -> int:
     return ref.groupBy(REF_KEY).agg(count_rows().alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _per_drawing(pairs: DataFrame, size: int) -> DataFrame:
-    """Pruned pairs of a drawing as one bounded array, best first."""
+def _per_drawing(pairs: DataFrame, size: int, bounded: bool) -> DataFrame:
+    """Pairs of a drawing as one bounded array, best first."""
     item = F.struct((-F.col("similarity")).alias("cost"), "line_id", "ref_id")
-    return prune_candidates(pairs, size).groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("pairs"))
+    rows = pairs if bounded else prune_candidates(pairs, size)
+    return rows.groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("pairs"))
+
 
+def assign_greedy(pairs: DataFrame, size: int, threshold: float | None = None, bounded: bool = False) -> DataFrame:
+    """Best pair first, each side used once; a fold over the drawing's sorted pair array.
 
-def assign_greedy(pairs: DataFrame, size: int, threshold: float | None = None) -> DataFrame:
-    """Best pair first, each side used once; a fold over the drawing's sorted pair array."""
+    ``bounded`` says that every drawing is known to be small, so pruning is not needed.
+    """
     start = F.struct(
         F.array().cast("array<int>").alias("lines"),
         F.array().cast("array<int>").alias("refs"),
@@ -98,7 +110,7 @@ def assign_greedy(pairs: DataFrame, size: int, threshold: float | None = None) -
         )
 
     typed = pairs.withColumns({"line_id": F.col("line_id").cast("int"), "ref_id": F.col("ref_id").cast("int")})
-    picks = _per_drawing(typed, size).select(KEY, F.aggregate("pairs", start, take)["picks"].alias("picks"))
+    picks = _per_drawing(typed, size, bounded).select(KEY, F.aggregate("pairs", start, take)["picks"].alias("picks"))
     return _threshold(picks.select(KEY, F.inline("picks")).withColumn("similarity", -F.col("cost")), threshold)
 
 
@@ -107,13 +119,15 @@ def _threshold(matches: DataFrame, threshold: float | None) -> DataFrame:
     return rows if threshold is None else rows.where(F.col("similarity") >= threshold)
 
 
-def assign_segments(pairs: DataFrame, size: int, threshold: float | None = TOLERANCE.threshold) -> DataFrame:
+def assign_segments(
+    pairs: DataFrame, size: int, threshold: float | None = TOLERANCE.threshold, bounded: bool = False
+) -> DataFrame:
     """Optimal one-to-one assignment per drawing, then the similarity threshold.
 
     Exactly ``min(segments, template)`` pairs with the least total of (1 - similarity) are
     chosen before the threshold. ``threshold=None`` returns them all.
     """
-    packed = _per_drawing(pairs, size).select(
+    packed = _per_drawing(pairs, size, bounded).select(
         KEY,
         F.transform("pairs", lambda p: p["line_id"].cast("int")).alias("lines"),
         F.transform("pairs", lambda p: p["ref_id"].cast("int")).alias("refs"),

@@ -16,11 +16,17 @@ KEY = "drawing_id"
 
 
 def match_drawings(seg: DataFrame, ref: DataFrame, optimal: bool = True, threshold: float | None = TOLERANCE.threshold) -> DataFrame:
-    """Matched pairs of every drawing with the template."""
+    """Matched pairs of every drawing with the template.
+
+    Usual drawings are brought together as segments, before the pairs make nine rows of each;
+    their pairs then never move. Very large drawings take the pruned path, which bounds what one
+    task receives.
+    """
     size = match.template_size(ref)
-    pairs = match.score_pairs(seg, ref)
     assign = match.assign_segments if optimal else match.assign_greedy
-    return assign(pairs, size, threshold)
+    small, large = match.split_by_size(seg.select(*(c for c in (KEY, match.REF_KEY, "line_id", *match.ENDS) if c in seg.columns)))
+    usual = assign(match.score_pairs(small, ref), size, threshold, bounded=True)
+    return usual.unionByName(assign(match.score_pairs(large, ref), size, threshold))
 
 
 def evaluate_drawings(

@@ -614,7 +614,7 @@ def safe_sql(rotation: str, tx: str, ty: str, scale: str) -> str:
 
 def _params(i):
     quarter = {c: (start + F.floor(F.col(c) / 4)).cast("int") for c, start in (("x1", 150), ("y1", 80), ("x2", 150), ("y2", 80))}
-    boxes = augment.sample_bounds(i.segments.withColumns(quarter).withColumns({"aug_idx": F.lit(1), "kind": F.lit("global")}))
+    boxes = augment.sample_bounds(i.segments.withColumns(quarter), ["drawing_id"])
     d = F.col("drawing_id")
     return boxes.withColumns(
         {
@@ -665,16 +665,12 @@ query(
 FROM (SELECT *, {' + '.join(WEIGHTS)} AS w, {' + '.join(f'{w} * {dx}' for w, (dx, _) in zip(WEIGHTS, MOVES))} AS sx, {' + '.join(f'{w} * {dy}' for w, (_, dy) in zip(WEIGHTS, MOVES))} AS sy FROM trail_points)""",
 )(
     lambda i: rounded(
-        i.trail_points.select(
-            "drawing_id",
-            "stroke_id",
-            "seq",
-            *(
-                c.alias(n)
-                for c, n in zip(
-                    augment.local_warp(F.col("x"), F.col("y"), [(F.lit(float(a)), F.lit(float(b))) for a, b in MOVES]), ("wx", "wy")
-                )
+        augment.local_warp(
+            i.trail_points.select(
+                "drawing_id", "stroke_id", "seq", F.col("x").cast("double").alias("wx"), F.col("y").cast("double").alias("wy")
             ),
+            [("wx", "wy")],
+            [(F.lit(float(a)), F.lit(float(b))) for a, b in MOVES],
         ),
         4,
     )

@@ -20,6 +20,8 @@ def build_session(app: str = "strokelake", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # the JVM does not compile methods beyond this size; let Spark split them instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     for key, value in settings.items():
