@@ -28,7 +28,7 @@ def value_buckets(df: DataFrame, value: str, buckets: int | None = None, out: st
     n = buckets or bucket_count(df)
     shares = [i / n for i in range(1, n)]
     points = df.agg(F.percentile_approx(value, shares, 10 * n).alias("p")).first()["p"] or []
-    inner = sorted({float(p) for p in points})
+    inner = sorted({float(p) for p in points}) or [0.0]
     splits = [float("-inf"), *inner, float("inf")]
     tagged = Bucketizer(splits=splits, inputCol="_ordered", outputCol=out, handleInvalid="keep").transform(
         df.withColumn("_ordered", F.col(value).cast("double"))

@@ -368,7 +368,8 @@ def _longest_run(points, rho, normals, votes_needed, length_needed, max_gap, tri
     longest, best = -1.0, None
     for cell in strong[np.argsort(-votes[strong], kind="stable")][:tried]:
         turn, level = divmod(int(cell), width)
-        on = points[np.abs(rho[:, turn] - (level + base)) <= 1]
+        # whole-degree directions drift by up to half a degree over a long stroke
+        on = points[np.abs(rho[:, turn] - (level + base)) <= 3]
         along = on @ np.array([-normals[1, turn], normals[0, turn]])
         order = np.argsort(along, kind="stable")
         on, along = on[order], along[order]

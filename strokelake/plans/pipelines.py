@@ -11,6 +11,7 @@ from strokelake.config import AUGMENTATION, TOLERANCE
 from strokelake.functions import labels as L
 from strokelake.operators import augment, lifecycle, match, scaler as scaling, segments, split, synth
 from strokelake.operators.ingest import dedup_ingest
+from strokelake.session import cut
 
 KEY = "drawing_id"
 
@@ -43,7 +44,8 @@ def evaluate_drawings(
         drawings = batch if stored is None else dedup_ingest(batch, stored)
         drawings = drawings.select(KEY).distinct()
         seg = seg.join(drawings, KEY, "left_semi")
-    used = segments.suppress_overlaps(seg) if suppress else seg
+    # the kept segments are read several times below: computed once, written to the shared folder
+    used = cut(segments.suppress_overlaps(seg)) if suppress else seg
     matches = match_drawings(used, ref, optimal)
     return match.match_summary(matches, used, match.template_size(ref), drawings)
 
@@ -116,11 +118,13 @@ def prepare_training_set(
     made = None
     if synthetic_n:
         made, extra = synthesise_low_scores(drawings, seg, ref, synthetic_n, feature, seed)
+        made, extra = cut(made), cut(extra)
         rows = rows.unionByName(made.select(KEY, "patient_id", "features_data"))
         lines = lines.unionByName(extra)
     if transform:
         rows = rows.transform(transform)
-    parted = load_training_set(rows, feature, fraction, seed)
+    # labels and sides feed every later step; they hold no image bytes, so one written copy is small
+    parted = cut(load_training_set(rows, feature, fraction, seed))
     fitted = None
     if normalise and not L.class_count_of(feature):
         base = parted if fit_on == "all" else parted.where(F.col("split") == "train")
