@@ -119,7 +119,7 @@ def prepare_training_set(
     if synthetic_n:
         made, extra = synthesise_low_scores(drawings, seg, ref, synthetic_n, feature, seed)
         made, extra = cut(made), cut(extra)
-        rows = rows.unionByName(made.select(KEY, "patient_id", "features_data"))
+        rows = cut(rows.unionByName(made.select(KEY, "patient_id", "features_data")))
         lines = lines.unionByName(extra)
     if transform:
         rows = rows.transform(transform)
