@@ -20,11 +20,13 @@ BIG = 1e6
 SMALL_DRAWING = 64  # a drawing's pair list is built directly up to here, and pruned beyond
 
 
-def template_arrays(ref: DataFrame) -> DataFrame:
+def template_arrays(ref: DataFrame, single: bool = False) -> DataFrame:
     """One row per template with its segments as an array; refuses oversized templates."""
     sizes = ref.groupBy(REF_KEY).agg(count_rows().alias("n")).agg(F.max("n").alias("m"), count_rows().alias("t")).first()
     if (sizes["m"] or 0) > MAX_TEMPLATE:
         raise ValueError(f"a template holds more than {MAX_TEMPLATE} segments")
+    if single and sizes["t"] > 1:
+        raise ValueError("segments need a reference_id when there are several templates")
     item = F.struct("ref_id", *ENDS)
     return ref.groupBy(REF_KEY).agg(F.array_sort(F.collect_list(item)).alias("template"))
 
@@ -36,7 +38,7 @@ def candidate_pairs(seg: DataFrame, ref: DataFrame) -> DataFrame:
     row per template and the pairs come from exploding that array: no cross join. Segments
     without a ``reference_id`` belong to the only template.
     """
-    arrays = template_arrays(ref)
+    arrays = template_arrays(ref, single=REF_KEY not in seg.columns)
     if REF_KEY in seg.columns:
         rows = seg.join(arrays, REF_KEY)
     else:
