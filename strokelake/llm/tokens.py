@@ -17,6 +17,7 @@ import numpy as np
 #: Words kept per task; the store is emptied when it is full, so memory is bounded whatever the corpus holds.
 STORE_LIMIT = 1_000_000
 ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n[ \n]|[ ]\Z")
+RAW = "\0"
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -83,50 +84,46 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def _cut_spaced(self, text: str) -> list[str]:
-        """Pieces with their leading space; a single line end between words stands alone."""
-        if any(s in text for s in self.special):
-            return SAFE_CUT.split(text)
-        if ODD_SPACE.search(text):
-            return SAFE_CUT.split(text)
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.replace(" ", "\0 ").split("\0") if "\0" not in line else SAFE_CUT.split(line)
-            out.append(first)
-            out += rest
-        return out
+        """Words, each standing for itself after one space; a mark in front says that it stands otherwise.
+
+        ``RAW`` and a piece: the piece as it is. A line end and a word: both, without a space.
+        """
+        if ODD_SPACE.search(text) or RAW in text or any(s in text for s in self.special):
+            return [RAW + piece for piece in SAFE_CUT.split(text)]
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = RAW + words[0]
+        return words
 
     def _learn(self, new: set[str]) -> None:
         """Encode words that are not stored: plain words joined in one call, the rest one by one."""
-        store, plain, tails, odd = self.store, [], [], []
-        lead = " " if self.kind == "spaced" else ""
-        known: set[str] = set()
+        store, plain, tails, odd, whole = self.store, set(), [], [], []
+        spaced = self.kind == "spaced"
         for w in new:
-            body = w[len(lead):] if w.startswith(lead) else ""
-            base = body[:-1] if body[-1:] in ".,;:" else body
+            base = w[:-1] if w[-1:] in ".,;:" else w
             if base.isalpha() and _latin(base):
-                if base is not body:
-                    tails.append((w, lead + base, body[-1]))
-                base = lead + base
-                if base not in store and base not in known:
-                    known.add(base)
-                    plain.append(base)
+                if base is not w:
+                    tails.append((w, base, w[-1]))
+                if base not in store:
+                    plain.add(base)
             else:
                 odd.append(w)
-        for at in range(0, len(plain), 20_000):
-            self._learn_plain(plain[at : at + 20_000])
+                whole.append(w if not spaced or w[:1] == "\n" else w[1:] if w[:1] == RAW else " " + w)
+        words = list(plain)
+        for at in range(0, len(words), 20_000):
+            self._learn_plain(words[at : at + 20_000])
         if odd:
-            store.update(zip(odd, self.raw(odd)))
+            store.update(zip(odd, self.raw(whole)))
         marks = {m: self.raw([m])[0] for m in {m for *_, m in tails}}
         for w, base, m in tails:
             store[w] = store[base] + marks[m]
 
     def _learn_plain(self, words: list[str]) -> None:
-        ids = np.frombuffer(self.raw([("" if self.kind == "spaced" else " ").join(words)])[0], "<u4")
+        text = " " + " ".join(words)
+        ids = np.frombuffer(self.raw([text])[0], "<u4")
         edges = np.flatnonzero(self.edge[ids])
         if len(edges) != len(words):  # a word that the vocabulary treats otherwise: no shortcut
-            self.store.update(zip(words, self.raw(words)))
+            lead = " " if self.kind == "spaced" else ""
+            self.store.update(zip(words, self.raw([lead + w for w in words])))
             return
         cuts = np.append(edges, len(ids)) if self.kind == "spaced" else np.append(0, edges + 1)
         data, cuts = ids.tobytes(), (cuts * 4).tolist()
