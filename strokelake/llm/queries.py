@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strokelake.llm import grammar, packing, separators
-from strokelake.llm.common import documents
+from strokelake.llm import decontaminate, grammar, line_rules, packing, separators, site_lines
+from strokelake.llm.common import documents, table
 from strokelake.llm.tokens import default_path
 from strokelake.session import scratch_path
 
@@ -38,8 +38,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return separators.document_counts(spark, path, end_id=50256)
 
 
+@query("op3_line_frequency")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.judge(documents(spark, folder))
+
+
+@query("op7_benchmark_windows")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.mark_leaks(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 @query("op9_grammar_output")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "grammar")
     grammar.write_grammar(documents(spark, folder), path, default_path("byte_bpe_50k.json"), end_id=0)
     return grammar.read_grammar(spark, path)
+
+
+@query("op10_site_spread", site_lines.ORACLE)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.remove_spread_lines(documents(spark, folder)).select("doc_id", "text", "n_lines", "n_removed")

@@ -15,9 +15,10 @@ import re
 import numpy as np
 
 #: Words kept per task; the store is emptied when it is full, so memory is bounded whatever the corpus holds.
-STORE_LIMIT = 1_000_000
+STORE_LIMIT = 800_000
 ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n[ \n]|[ ]\Z")
 RAW = "\0"
+ODD_RUNS = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"]
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -88,7 +89,7 @@ class Encoder:
 
         ``RAW`` and a piece: the piece as it is. A line end and a word: both, without a space.
         """
-        if ODD_SPACE.search(text) or RAW in text or any(s in text for s in self.special):
+        if _odd_space(text) or RAW in text or any(s in text for s in self.special):
             return [RAW + piece for piece in SAFE_CUT.split(text)]
         words = text.replace("\n", " \n").split(" ")
         words[0] = RAW + words[0]
@@ -130,6 +131,13 @@ class Encoder:
         self.store.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
 
+def _odd_space(text: str) -> bool:
+    """White space other than single spaces and single line ends between words."""
+    if text.isascii() or _latin(text):  # a few searches for single characters are faster than a pattern
+        return text.endswith(" ") or any(s in text for s in ODD_RUNS)
+    return ODD_SPACE.search(text) is not None
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
