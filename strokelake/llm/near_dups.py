@@ -181,9 +181,9 @@ def links(nodes: DataFrame, radius: int, groups: int) -> DataFrame:
                 )
 
     rows = written(nodes.select("print").mapInArrow(spread, "grid int, cell long, print long"), "cells")
-    held = rows.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    shared = rows.join(held, ["grid", "cell"]).withColumn("blocks", blocks)
+    large = rows.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    blocks = F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("int")
+    shared = rows.join(large, ["grid", "cell"], "left").withColumn("blocks", blocks)
     shared = shared.withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks").cast("long")).cast("int"))
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shared = shared.select("grid", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "print")
