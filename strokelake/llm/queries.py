@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strokelake.llm import decontaminate, grammar, line_rules, near_dups, packing, separators, site_lines, toxicity
+from strokelake.llm import decontaminate, grammar, line_rules, near_dups, packing, repeats, separators, site_lines, toxicity
 from strokelake.llm.common import documents, table
 from strokelake.llm.tokens import default_path
 from strokelake.session import scratch_path
@@ -58,6 +58,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.mark_leaks(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+@query("op8_deep_shallow_repeats")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder), width=400)
+
+
 @query("op9_grammar_output")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "grammar")
