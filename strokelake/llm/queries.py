@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strokelake.llm import decontaminate, grammar, line_rules, near_dups, packing, repeats, separators, site_lines, toxicity
+from strokelake.llm import decontaminate, grammar, line_rules, near_dups, packing, repeats, separators, site_lines, toxicity, wrappers
 from strokelake.llm.common import documents, table
 from strokelake.llm.tokens import default_path
 from strokelake.session import scratch_path
@@ -48,6 +48,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents(spark, folder), table(spark, folder, "labels"))
 
 
+@query("op5_inferred_wrappers")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 @query("op6_simhash_components")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, folder), radius=4)
