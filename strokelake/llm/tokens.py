@@ -14,8 +14,9 @@ import re
 
 import numpy as np
 
-#: Words kept per task; the store is emptied when it is full, so memory is bounded whatever the corpus holds.
-STORE_LIMIT = 800_000
+#: Words kept per generation and worker process. A full generation becomes the old one, from which words still in use move on;
+#: so memory is bounded whatever the corpus holds.
+STORE_LIMIT = 160_000
 ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n[ \n]|[ ]\Z")
 RAW = "\0"
 ODD_RUNS = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"]
@@ -59,6 +60,7 @@ class Encoder:
         for token, i in vocab.items():
             self.edge[i] = mark(token)
         self.store: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, pieces: list[str]) -> list[bytes]:
         found = self.tool.encode_batch_fast(pieces, add_special_tokens=False)
@@ -69,10 +71,14 @@ class Encoder:
             return self.raw(texts)
         cut = self._cut_words if self.kind == "words" else self._cut_spaced
         lists = [cut(t) for t in texts]
-        store = self.store
-        if len(store) > STORE_LIMIT:
-            store.clear()
+        if len(self.store) > STORE_LIMIT:
+            self.old, self.store = self.store, {}
+        store, old = self.store, self.old
         new = {w for words in lists for w in words if w not in store}
+        if new and old:
+            for w in [w for w in new if w in old]:
+                store[w] = old[w]
+                new.discard(w)
         if new:
             self._learn(new)
         return [b"".join(map(store.__getitem__, words)) for words in lists]
@@ -105,7 +111,10 @@ class Encoder:
                 if base is not w:
                     tails.append((w, base, w[-1]))
                 if base not in store:
-                    plain.add(base)
+                    if base in self.old:
+                        store[base] = self.old[base]
+                    else:
+                        plain.add(base)
             else:
                 odd.append(w)
                 whole.append(w if not spaced or w[:1] == "\n" else w[1:] if w[:1] == RAW else " " + w)

@@ -96,7 +96,7 @@ def hits(docs: DataFrame, features: list[str]) -> DataFrame:
         memory: dict[str, tuple[int, ...]] = {}
 
         def step(cols):
-            if len(memory) > 500_000:
+            if len(memory) > 150_000:
                 memory.clear()
             out = defaultdict(list)
             for key, text in zip(cols["doc_id"], cols["text"]):
