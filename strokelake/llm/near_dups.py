@@ -5,7 +5,7 @@ never exceeds the Hamming distance of the fingerprints, so fingerprints within `
 other in the embedding. The range join lays a grid over it: the segments form ``g`` groups of axes; a distance of ``radius``
 spread over ``g`` groups leaves at least ``g - radius`` groups without any difference, so each choice of ``g - radius`` groups gives one
 grid, its cell being the counts of these groups. Candidates of a cell pass the Manhattan bound on byte counts, then the
-exact Hamming distance. No link is lost; ``g`` follows the number of fingerprints and only changes the cost.
+exact Hamming distance. No link is lost; ``g`` only changes the cost (``grid_groups`` estimates it for very large tables).
 
 Equal fingerprints are one node. A cell with more than ``CELL`` nodes is cut into blocks; each pair of blocks
 is a group of its own, so no task holds a large cell, and a group returns a spanning forest of its links, never all pairs.
@@ -221,12 +221,11 @@ def links(nodes: DataFrame, radius: int, groups: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, groups: int | None = None) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    groups = grid_groups(nodes.count(), radius)
-    roots = written(components(links(nodes, radius, groups)), "roots")
+    roots = written(components(links(nodes, radius, groups or radius + 2)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = written(named, "named")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
