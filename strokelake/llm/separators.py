@@ -7,7 +7,7 @@ that cross block boundaries.
 
 Defined cases: null text counts as empty (its document is the separator alone); an empty table gives no
 rows; ids after the last separator of a file are one document with ``ended`` false; repeated rows are documents of their own;
-other columns are not read.
+the string of a special token inside a text is ordinary text, so no text holds the separator; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
         for batch in batches:
             for part in slices(batch):
                 keys = part.column(0).to_pylist()
-                rest = b"".join([rest, *encode_texts(part.column(1).to_pylist(), tokenizer, end_id)])
+                rest = b"".join([rest, *encode_texts(part.column(1).to_pylist(), tokenizer, end_id, special_as_text=True)])
                 yield row("order", order, None, keys)
                 order += 1
                 whole = len(rest) // (4 * block_ids)

@@ -21,7 +21,7 @@ ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n[ \n]|[ ]\Z")
 RAW = "\0"
 ODD_RUNS = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"]
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def default_path(name: str) -> str:
@@ -30,21 +30,23 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> "Encoder":
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special_as_text: bool = False) -> "Encoder":
+    """One encoder per worker process, file and treatment of the special tokens' strings in texts."""
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.tool.encode_special_tokens = special_as_text
         shape = json.loads(self.tool.to_str())
         self.special = tuple(t["content"] for t in shape.get("added_tokens", []))
         pre = shape.get("pre_tokenizer") or {}
@@ -155,7 +157,7 @@ def _latin(text: str) -> bool:
         return False
 
 
-def encode_texts(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, end_id: int | None, special_as_text: bool = False) -> list[bytes]:
     """Ids of each text as bytes, with the end id appended."""
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-    return [ids + tail for ids in encoder(path).encode(texts)]
+    return [ids + tail for ids in encoder(path, special_as_text).encode(texts)]

@@ -323,7 +323,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     for text, path, o in zip(texts, paths, outs):
                         if not o:
                             weights[path] += len(text)
-                    container = main_container(weights)
+                    container, outside = main_container(weights), set()
                     inside = [p == container or not container or p.startswith(container + "/") for p in paths]
                 kept = [t for t, i, o, at in zip(texts, inside, outs, places) if i and not o and place[at] not in outside]
                 text = "\n\n".join(kept)
