@@ -7,8 +7,8 @@ wrapper (a regular expression without unions) says which slots a host has; its s
 headers, footers, sidebars, notices, adverts, forms, comments are out) and by the text they hold over all pages of
 the group; the container with most text is the article. Each page is aligned with its wrapper and gives the text of the article's slots.
 
-Large hosts are split into groups of about ``GROUP`` pages, each with a wrapper of its own; only streams and text lengths
-meet in a group, never the pages.
+Hosts are split into ``SALTS`` parts and these into groups of about ``GROUP`` pages, each group with a wrapper of its own, so no
+task holds a large host.
 
 Defined cases: null html counts as empty and gives the empty text; a null url is the host ''; pages without a wrapper
 match are judged by their own stream; repeated rows give equal results; an empty table gives an empty result; other
@@ -19,16 +19,14 @@ from __future__ import annotations
 
 import difflib
 import html as entities
-import json
 import re
 from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strokelake.llm.common import map_batches, written
-
 GROUP = 1000
+SALTS = 4
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = set("a abbr b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -231,13 +229,12 @@ def main_container(weights: dict[str, int]) -> str:
     return best
 
 
-def judge(wrapper: list, pages: list[tuple[list[str], list[tuple[int, int, str, bool]]]]) -> tuple[str, set[int]]:
+def judge(wrapper: list, pages: list[tuple[list[int], list[tuple[int, int, str, bool]]]]) -> tuple[str, set[int]]:
     """Article container, and wrapper nodes whose texts are outside by their place."""
     weights: dict[str, int] = defaultdict(int)
     outside: Counter[int] = Counter()
     seen: Counter[int] = Counter()
-    for tokens, found in pages:
-        place = slots(wrapper, tokens)
+    for place, found in pages:
         for at, size, path, out in found:
             seen[place[at]] += 1
             outside[place[at]] += out
@@ -246,93 +243,47 @@ def judge(wrapper: list, pages: list[tuple[list[str], list[tuple[int, int, str,
     return main_container(weights), {i for i in seen if i >= 0 and 2 * outside[i] > seen[i]}
 
 
-STREAMS = "page_id long, url string, host string, tokens string, places array<int>, texts array<string>, paths array<string>, outs array<boolean>"
-
-
-def page_streams(pages: DataFrame) -> DataFrame:
-    """Every page read once: its stream and text blocks."""
-
-    def make():
-        from urllib.parse import urlsplit
+def host_of(url):
+    """Authority of a URL as a column; '' without one."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
-        def host(url):
-            try:
-                return (urlsplit(url or "").netloc or "").lower()
-            except ValueError:
-                return ""
 
-        def step(cols):
-            out = defaultdict(list)
-            for key, url, source in zip(cols["page_id"], cols["url"], cols["html"]):
-                tokens, blocks = page_blocks(source)
-                out["page_id"].append(key)
-                out["url"].append(url)
-                out["host"].append(host(url))
-                out["tokens"].append(" ".join(tokens))
-                for i, name in enumerate(("places", "texts", "paths", "outs")):
-                    out[name].append([b[i] for b in blocks])
-            return out
+def extract_group(pages: list[tuple]) -> list[str]:
+    """Texts of the pages (html) of one group: wrapper from all of them, then the text of each."""
+    parsed = [page_blocks(source) for source in pages]
+    counts = Counter(tuple(tokens) for tokens, _ in parsed)
+    wrapper = infer([(list(t), n) for t, n in counts.items()])
+    placed = {t: slots(wrapper, list(t)) for t in counts}
+    container, outside = judge(wrapper, [(placed[tuple(t)], [(at, len(x), path, out) for at, x, path, out in b]) for t, b in parsed])
+    texts = []
+    for tokens, blocks in parsed:
+        place = placed[tuple(tokens)]
+        inside, skip = within(container, blocks), outside
+        if not any(i and not b[3] for i, b in zip(inside, blocks)):  # the page has no such container: judged by itself
+            weights: dict[str, int] = defaultdict(int)
+            for _, text, path, out in blocks:
+                if not out:
+                    weights[path] += len(text)
+            inside, skip = within(main_container(weights), blocks), set()
+        texts.append("\n\n".join(b[1] for b, i in zip(blocks, inside) if i and not b[3] and place[b[0]] not in skip))
+    return texts
 
-        return step
 
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return map_batches(source, STREAMS, make)
+def within(container: str, blocks: list) -> list[bool]:
+    return [not container or b[2] == container or b[2].startswith(container + "/") for b in blocks]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    streams = written(page_streams(pages), "streams")
-    groups = streams.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    own = F.pmod(F.xxhash64("page_id", "url", "tokens"), F.col("groups")).cast("int")
-    dealt = streams.join(groups, "host").withColumn("part", own).drop("groups")
-    sizes = dealt.select("host", "part", "tokens", "places", F.transform("texts", F.length).alias("sizes"), "paths", "outs")
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        counts = Counter(group["tokens"])
-        wrapper = infer([(t.split(" ") if t else [], n) for t, n in counts.items()])
-        rows = [
-            (r.tokens.split(" ") if r.tokens else [], list(zip(map(int, r.places), map(int, r.sizes), r.paths, r.outs)))
-            for r in group.itertuples()
-        ]
-        container, outside = judge(wrapper, rows)
-        made = json.dumps({"wrapper": wrapper, "container": container, "outside": sorted(outside)})
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["part"].iloc[0]], "made": [made]})
-
-    wrappers = written(sizes.groupBy("host", "part").applyInPandas(learn, "host string, part int, made string"), "wrappers")
-    joined = dealt.join(wrappers, ["host", "part"]).select("page_id", "url", "tokens", "places", "texts", "paths", "outs", "made")
-
-    def make():
-        memory: dict[str, dict] = {}
-        placed: dict[tuple[str, str], list[int]] = {}
-
-        def step(cols):
-            out = defaultdict(list)
-            for key, url, tokens, places, texts, paths, outs, made in zip(*(cols[c] for c in ("page_id", "url", "tokens", "places", "texts", "paths", "outs", "made"))):
-                if made not in memory:
-                    memory[made] = json.loads(made)
-                rule = memory[made]
-                if len(placed) > 2000:
-                    placed.clear()
-                if (made, tokens) not in placed:
-                    placed[made, tokens] = slots(rule["wrapper"], tokens.split(" ") if tokens else [])
-                place, outside = placed[made, tokens], set(rule["outside"])
-                container = rule["container"]
-                inside = [p == container or not container or p.startswith(container + "/") for p in paths]
-                if not any(i and not o for i, o in zip(inside, outs)):  # the page has no such container: judged by itself
-                    weights: dict[str, int] = defaultdict(int)
-                    for text, path, o in zip(texts, paths, outs):
-                        if not o:
-                            weights[path] += len(text)
-                    container, outside = main_container(weights), set()
-                    inside = [p == container or not container or p.startswith(container + "/") for p in paths]
-                kept = [t for t, i, o, at in zip(texts, inside, outs, places) if i and not o and place[at] not in outside]
-                text = "\n\n".join(kept)
-                out["page_id"].append(key)
-                out["url"].append(url)
-                out["text"].append(text)
-                out["n_chars"].append(len(text))
-            return out
-
-        return step
-
-    return map_batches(joined, "page_id long, url string, text string, n_chars long", make)
+    """page_id, url, text and n_chars of every page; the pages are shuffled once, by host, salt and group."""
+    source = pages.select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host")
+    ).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    counts = source.groupBy("host", "salt").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    part = F.pmod(F.xxhash64("url", "page_id"), F.col("groups")).cast("int")
+    dealt = source.join(counts, ["host", "salt"]).withColumn("part", part).drop("groups")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        texts = extract_group(list(group["html"]))
+        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    return dealt.groupBy("host", "salt", "part").applyInPandas(run, "page_id long, url string, text string, n_chars long")
