@@ -22,7 +22,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 GROUP = 1000
@@ -282,8 +282,9 @@ def extract(pages: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("url", "page_id"), F.col("groups")).cast("int")
     dealt = source.join(counts, ["host", "salt"]).withColumn("part", part).drop("groups")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = extract_group(list(group["html"]))
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(group: pa.Table) -> pa.Table:
+        texts = extract_group(group.column("html").to_pylist())
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
-    return dealt.groupBy("host", "salt", "part").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    return dealt.groupBy("host", "salt", "part").applyInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -185,12 +185,12 @@ PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul>
 def test_wrappers(spark, tag):
     close = f"</{tag.split()[0]}>"
     rows = [(i, f"http://h/{i}", PAGE.format(n=i, open=f"<{tag}>", close=close, extra="<p>More.</p>" * (i % 4))) for i in range(20)]
-    rows += [(100, None, None), (101, "http://[bad", ""), (102, "http://h/x", "plain words only")]
+    rows += [(100, None, None), (101, "http://[bad", ""), (102, "http://h/x", "plain words only"), (None, "http://h/x", "<p>no id")]
     got = {r.page_id: r for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(20):
         want = "\n\n".join([f"Title {i}", f"First <b> of page {i}.", "Second one.", *["More."] * (i % 4)])
         assert got[i].text == want and got[i].n_chars == len(want)
-    assert got[100].text == "" and got[101].text == "" and got[102].text == "plain words only"
+    assert got[100].text == "" and got[101].text == "" and got[102].text == "plain words only" and got[None].text == "no id"
 
 
 def test_wrapper_inference():
