@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from strokelake.config import SCORE_RANGES
 
-ORDER_MODULUS = 1000003
+#: Seven hexadecimal digits of a digest.
+ORDER_MODULUS = 1 << 28
 
 
 def content_hash(original: Column, processed: Column) -> Column:
@@ -35,11 +36,12 @@ def normal(tag: str, seed: int, *keys: Column) -> Column:
 
 
 def seeded_order(key: Column, seed: int) -> Column:
-    """Arithmetic shuffle order in [0, ORDER_MODULUS); ties are broken by the key.
+    """Shuffle order in [0, ORDER_MODULUS) from a digest of seed and key; ties are broken by the key.
 
-    The key is reduced first, which leaves the result as it is and cannot overflow.
+    Each seed gives an order of its own, and regular keys fall irregularly.
     """
-    return F.pmod(F.pmod(key, F.lit(ORDER_MODULUS)) * F.lit(2654435761) + F.lit(seed), F.lit(ORDER_MODULUS))
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
 
 
 def preset_range(feature: Column) -> Column:

@@ -268,7 +268,7 @@ query(
     "drawings",
     "SELECT session_id, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM drawings), 2) AS percentage FROM drawings GROUP BY 1",
 )(lambda i: profile.with_share(i.drawings.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))))
-ORDER = "((id * 2654435761 + 42) % 1000003)"
+ORDER = "CAST('0x' || substr(md5('42-' || CAST(id AS VARCHAR)), 1, 7) AS BIGINT)"
 
 
 def _split_sql(stratum: str, limit: str = "floor(n * 0.8::DOUBLE)") -> str:
@@ -474,7 +474,7 @@ query(
     "spl_10_load_training_set",
     "drawings",
     f"""SELECT drawing_id, v AS target, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (SELECT drawing_id, v,
- row_number() OVER (PARTITION BY s ORDER BY ((drawing_id * 2654435761 + 42) % 1000003), drawing_id) AS rn, count(*) OVER (PARTITION BY s) AS n
+ row_number() OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5('42-' || CAST(drawing_id AS VARCHAR)), 1, 7) AS BIGINT), drawing_id) AS rn, count(*) OVER (PARTITION BY s) AS n
  FROM (SELECT drawing_id, v, CAST(v >= a AS INT) + CAST(v >= b AS INT) + CAST(v >= c AS INT) AS s FROM t, e))""",
     ctes=f"""t AS (SELECT * FROM (SELECT drawing_id, {Q} AS v FROM drawings) WHERE v IS NOT NULL),
 e AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM t)""",

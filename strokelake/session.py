@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if current:
         return os.path.dirname(current.rstrip("/"))
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="strokelake-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -110,4 +111,12 @@ def test_softmax_and_top_class(rows):
 def test_seeded_order_is_safe_for_huge_keys(rows):
     big = 2**62 + 12345
     out = rows([(big,), (-big,)], "k bigint").select(V.seeded_order(F.col("k"), 5).alias("o")).collect()
-    assert [r["o"] for r in out] == [(big * 2654435761 + 5) % 1000003, (-big * 2654435761 + 5) % 1000003]
+    assert [r["o"] for r in out] == [int(hashlib.md5(f"5-{k}".encode()).hexdigest()[:7], 16) for k in (big, -big)]
+
+
+def test_two_seeds_give_different_splits(spark):
+    cut = int(0.8 * V.ORDER_MODULUS)
+    ids = spark.range(20_000)
+    both = ids.select((V.seeded_order(F.col("id"), 42) < cut).alias("a"), (V.seeded_order(F.col("id"), 43) < cut).alias("b"))
+    differ = both.where("a <> b").count() / 20_000
+    assert abs(differ - 2 * 0.8 * 0.2) < 0.02
