@@ -51,6 +51,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
                 arrays = [pa.array(got[f.name], type=f.type) for f in out]
                 if arrays and len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        pa.default_memory_pool().release_unused()  # workers are reused; the next task starts from little memory
 
     return df.mapInArrow(run, struct)
 

@@ -33,6 +33,8 @@ SEED = 42
 SEGMENTS = 32
 CELL = 4096
 PAIRWISE = 24
+#: Longs that are broadcast at most: 8 MB.
+BROADCAST_IDS = 1 << 20
 #: Chance that two independent two-bit segments have the same count: (1/4)^2 + (1/2)^2 + (1/4)^2.
 SAME_COUNT = 3 / 8
 
@@ -50,18 +52,21 @@ def fingerprint(text: str) -> int:
     starts = (end - size)[: len(words) - SHINGLE + 1].tolist()
     ends = end[SHINGLE - 1 :].tolist()
     view = memoryview(joined)
-    pieces = [view[a:b] for a, b in zip(starts, ends)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+    pieces = map(view.__getitem__, map(slice, starts, ends))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(starts))
     return int(majority(hashes))
 
 
 def majority(hashes: np.ndarray) -> np.uint64:
     """Bits set in over half of the hashes."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    whole = len(bits) // 255 * 255
-    counts = bits[whole:].sum(0, dtype=np.int64)
-    if whole:  # sums of 255 rows fit a byte
-        counts += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 255 * 128):  # a long text is counted in blocks
+        part = hashes[at : at + 255 * 128].astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        counts += bits[whole:].sum(0, dtype=np.int64)
+        if whole:  # sums of 255 rows fit a byte
+            counts += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
 
 
@@ -237,7 +242,22 @@ def near_duplicates(docs: DataFrame, radius: int = 4, groups: int | None = None)
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The document of the smallest id of each component, once; all columns stay. Rows without an id cannot be told
-    apart and stay if their component has no other row."""
+    apart and stay if their component has no other row.
+
+    Only ids are grouped. The ids to drop are broadcast up to ``BROADCAST_IDS`` of them, so that the texts stay where they
+    are; beyond that the join shuffles the documents. Texts are compared for ids that occur more than once alone.
+    """
     found = near_duplicates(docs, radius)
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dup_id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_dup_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marked = written(found.groupBy(F.col("doc_id").alias("_dup_id")).agg(first.alias("_first"), F.count("*").alias("_rows")), "marked")
+
+    def ids(rows: DataFrame) -> DataFrame:
+        few = rows.select("_dup_id")
+        return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_dup_id"))
+    repeated = marked.where("_first AND _rows > 1")
+    if repeated.isEmpty():
+        return docs.join(ids(marked.where("NOT _first")), same, "left_anti")
+    single = docs.join(ids(marked.where("NOT _first OR _rows > 1")), same, "left_anti")
+    return single.unionByName(docs.join(ids(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
