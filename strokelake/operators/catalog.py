@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strokelake.functions import labels as L
 from strokelake.functions.names import parse_model_name
 from strokelake.functions.values import denormalise, softmax, top_class
+from strokelake.operators.keyed import join_small
 from strokelake.operators.profile import count_rows, one_row
 
 
@@ -72,9 +73,12 @@ def class_info(drawings: DataFrame, k: int, key: str = "drawing_id") -> DataFram
 
 
 def attach_class_names(pred: DataFrame, classes: DataFrame, label: str = "prediction") -> DataFrame:
-    """Names from the class table, ``Class_<i>`` where there is none."""
+    """Names from the class table, ``Class_<i>`` where there is none.
+
+    Classes are few and predictions many, so the names travel to the predictions.
+    """
     names = classes.select(F.col("label").alias(label), F.col("name").alias("_name"))
-    return pred.join(names, label, "left").withColumn(
+    return join_small(pred, names, label, "left").withColumn(
         "class_name", F.coalesce("_name", F.concat(F.lit("Class_"), F.col(label)))
     ).drop("_name")
 

@@ -10,22 +10,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strokelake.config import TOLERANCE, MatchTolerance
 from strokelake.functions import geometry as G
-from strokelake.operators.profile import count_rows, one_row
+from strokelake.operators.keyed import join_small
+from strokelake.operators.profile import count_rows
 from strokelake.operators.segments import ENDS, KEY
 
 REF_KEY = "reference_id"
-MAX_TEMPLATE = 64
 EXACT_MASK = 12  # templates (or drawings) up to this size use the subset table
 BIG = 1e6
 SMALL_DRAWING = 64  # a drawing's pair list is built directly up to here, and pruned beyond
 
 
 def template_arrays(ref: DataFrame, single: bool = False) -> DataFrame:
-    """One row per template with its segments as an array; refuses oversized templates."""
-    sizes = ref.groupBy(REF_KEY).agg(count_rows().alias("n")).agg(F.max("n").alias("m"), count_rows().alias("t")).first()
-    if (sizes["m"] or 0) > MAX_TEMPLATE:
-        raise ValueError(f"a template holds more than {MAX_TEMPLATE} segments")
-    if single and sizes["t"] > 1:
+    """One row per template with its segments as an array."""
+    if single and ref.select(REF_KEY).distinct().limit(2).count() > 1:
         raise ValueError("segments need a reference_id when there are several templates")
     item = F.struct("ref_id", *ENDS)
     return ref.groupBy(REF_KEY).agg(F.array_sort(F.collect_list(item)).alias("template"))
@@ -34,13 +31,13 @@ def template_arrays(ref: DataFrame, single: bool = False) -> DataFrame:
 def candidate_pairs(seg: DataFrame, ref: DataFrame) -> DataFrame:
     """Every segment next to every segment of its own template.
 
-    A template is one array row of checked size, so the join is by ``reference_id`` with one
-    row per template and the pairs come from exploding that array: no cross join. Segments
-    without a ``reference_id`` belong to the only template.
+    A template is one array row, so the join is by ``reference_id`` with one row per template
+    and the pairs come from exploding that array: no cross join. Segments without a
+    ``reference_id`` belong to the only template.
     """
     arrays = template_arrays(ref, single=REF_KEY not in seg.columns)
     if REF_KEY in seg.columns:
-        rows = seg.join(arrays, REF_KEY)
+        rows = join_small(seg, arrays, REF_KEY)
     else:
         rows = seg.withColumn("template", arrays.agg(F.first("template")).scalar())
     return rows.select(*seg.columns, F.explode("template").alias("_t")).select(

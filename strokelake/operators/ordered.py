@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strokelake.operators.keyed import join_small
+
 
 def bucket_count(df: DataFrame) -> int:
     """A few buckets per shuffle task, so that their number follows the cluster."""
@@ -147,7 +149,8 @@ def first_share(
 
     ``order`` is a whole number in [0, modulus), spread evenly; ``wanted`` is computed from
     the stratum size column ``n``. Counts per (stratum, bucket) locate the bucket holding the
-    cut; only that bucket is ranked, and all other rows are decided by comparison alone.
+    cut; only that bucket is ranked, and all other rows are decided by comparison alone. The
+    cuts, one row per stratum, travel to the rows.
     """
     strata = list(strata)
     n = buckets or 16384
@@ -163,8 +166,7 @@ def first_share(
     holding = counted.where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
     holding = holding.select(*strata, "_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_place"))
     ranked = (
-        rows.select(*strata, "_bucket", "_order", tie)
-        .join(holding, [*strata, "_bucket"])
+        join_small(rows.select(*strata, "_bucket", "_order", tie), holding, [*strata, "_bucket"])
         .withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_order", tie)))
     )
     cuts = ranked.where(F.col("_rank") == F.col("_place")).select(
@@ -176,7 +178,7 @@ def first_share(
         F.lit(False),
     )
     if strata:
-        marked = rows.join(cuts, strata, "left")
+        marked = join_small(rows, cuts, strata, "left")
     else:
         cut = cuts.agg(F.first(F.struct("_cut_order", "_cut_tie"))).scalar()
         marked = rows.withColumn("_cut_order", cut["_cut_order"]).withColumn("_cut_tie", cut["_cut_tie"])

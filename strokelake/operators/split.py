@@ -8,24 +8,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strokelake.functions import labels as L
 from strokelake.functions.values import ORDER_MODULUS, seeded_order, split_advice
-from strokelake.operators.ordered import exact_percentiles, first_share, running_totals
+from strokelake.operators.ordered import exact_percentiles, first_share, number_rows, running_totals
 from strokelake.operators.profile import count_rows, describe_target, one_row
 
 
 def assign_bins(df: DataFrame, value: str, n: int, method: str = "quantile", out: str = "bin") -> DataFrame:
-    """Bin number = inner edges not above the value; equal edges collapse."""
+    """Bin number = inner edges not above the value; equal edges collapse.
+
+    The edges, ``n - 1`` numbers, are found first and become constants of the plan.
+    """
     number = F.col(value).cast("double")
     if method == "quantile":
-        edges = one_row(exact_percentiles(df, value, {f"e{i}": i / n for i in range(1, n)})) if n > 1 else None
+        edges = exact_percentiles(df, value, {f"e{i}": i / n for i in range(1, n)}).first() if n > 1 else None
         inner = [edges[f"e{i}"] for i in range(1, n)]
     elif method == "equal":
-        span = one_row(df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")))
-        inner = [span["lo"] + (span["hi"] - span["lo"]) * (i / n) for i in range(1, n)]
+        low, high = df.agg(F.min(number), F.max(number)).first()
+        inner = [None if low is None else low + (high - low) * (i / n) for i in range(1, n)]
     else:
         raise ValueError(f"unknown binning method: {method}")
     place = F.lit(0)
     for edge in inner:
-        place = place + (number >= edge).cast("int")
+        place = place + (number >= F.lit(edge).cast("double")).cast("int")
     return df.withColumn(out, place)
 
 
@@ -49,8 +52,9 @@ def split_random(df: DataFrame, fraction: float, seed: int, key: str = "id") ->
 
 def _with_fallback(df: DataFrame, stratum: str, least: int) -> DataFrame:
     """One common stratum when any stratum is smaller than ``least``."""
-    smallest = df.groupBy(stratum).agg(count_rows().alias("n")).agg(F.min("n").alias("m")).scalar()
-    return df.withColumn("_stratum", F.when(smallest < least, -1).otherwise(F.col(stratum)))
+    smallest = df.groupBy(stratum).agg(count_rows().alias("n")).agg(F.min("n")).first()[0]
+    too_small = smallest is not None and smallest < least
+    return df.withColumn("_stratum", F.lit(-1) if too_small else F.col(stratum))
 
 
 def split_regression(
@@ -80,7 +84,8 @@ def split_by_advice(df: DataFrame, value: str, fraction: float = 0.8, seed: int
 
 
 def shuffle(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """Rows in seeded order with their ``place`` from 0."""
+    return number_rows(df, seeded_order(F.col(key), seed), key, ORDER_MODULUS).orderBy("place")
 
 
 def ks_2samp(df: DataFrame, value: str, is_first: Column) -> DataFrame:

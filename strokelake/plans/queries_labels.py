@@ -317,15 +317,18 @@ g AS (SELECT CAST(sum(a) OVER (ORDER BY x) AS DOUBLE) / (SELECT sum(a) FROM v) A
 query(
     "win_09_ks_statistic",
     "predictions_reg",
-    "SELECT round(max(abs(fa - fb)), 6) AS statistic, (SELECT CAST(sum(a) AS BIGINT) FROM v) AS n_a, (SELECT CAST(sum(b) AS BIGINT) FROM v) AS n_b FROM g",
+    """SELECT round(d, 6) AS statistic, n_a, n_b, round(CASE WHEN s < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0,
+ list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * j * j * s * s))))) END, 6) AS p_value
+FROM (SELECT d, n_a, n_b, sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b)) * d AS s FROM (SELECT max(abs(fa - fb)) AS d,
+ (SELECT CAST(sum(a) AS BIGINT) FROM v) AS n_a, (SELECT CAST(sum(b) AS BIGINT) FROM v) AS n_b FROM g))""",
     ctes=KS,
-)(lambda i: rounded(split.ks_2samp(i.predictions_reg, "prediction", F.col("split") == "train").drop("p_value")))
+)(lambda i: rounded(split.ks_2samp(i.predictions_reg, "prediction", F.col("split") == "train")))
 query(
     "win_10_first_per_class",
     "scores",
     "SELECT CAST(label AS BIGINT) AS label, min(id) AS id, round(arg_min(score, id), 6) AS score FROM scores GROUP BY 1",
 )(lambda i: rounded(metrics.first_per_class(i.scores, "label", "id", ["score"])))
-query("win_11_shuffle", "scores", "SELECT id, round(score, 6) AS score FROM scores")(
+query("win_11_shuffle", "scores", f"SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY {ORDER}, id) - 1 AS place FROM scores")(
     lambda i: rounded(split.shuffle(i.scores.select("id", "score"), 42))
 )
 

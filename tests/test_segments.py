@@ -149,12 +149,6 @@ def test_match_summary_of_empty_sides(rows, template):
     assert match.match_summary(none, df, 0).first()["extra_lines"] == 2
 
 
-def test_oversized_template_is_refused(rows):
-    big = rows([(1, k, 0, 0, k + 1, 5) for k in range(65)], "reference_id int, ref_id int, x1 int, y1 int, x2 int, y2 int")
-    with pytest.raises(ValueError):
-        match.template_arrays(big)
-
-
 def ink_of(rows, lines):
     return raster.rasterise(rows(lines, SEG))
 
