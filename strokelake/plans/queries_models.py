@@ -295,11 +295,12 @@ def _(i):
 @query("stm_05_evaluate_stream", "segments ref_segments", SUMMARY, ctes=GREEDY, recursive=True)
 def _(i):
     ref = i.ref_segments.select(F.lit(1).alias("reference_id"), "*")
+    size = match.template_size(ref)
 
     def evaluate(batch):
         seg = batch.sparkSession.sql(TEXTS["segments"], lineitem=batch)
-        return match.match_summary(pipelines.match_drawings(seg, ref, optimal=False), seg, 9)
+        return match.match_summary(pipelines.match_drawings(seg, ref, optimal=False), seg, size)
 
     target, checkpoint = scratch_path(i.spark, "evaluated"), scratch_path(i.spark, "evaluate-state")
-    jobs.evaluate_stream(_source(i, "lineitem"), evaluate, target, checkpoint, NOW).awaitTermination()
-    return rounded(i.spark.read.parquet(target).drop("batch"), 4)
+    jobs.evaluate_stream(_source(i, "lineitem"), "l_orderkey", evaluate, target, checkpoint, NOW).awaitTermination()
+    return rounded(jobs.latest_results(i.spark, target, "drawing_id"), 4)

@@ -83,10 +83,43 @@ def expire_sessions(source: DataFrame, session: str, at: str, idle: str = "24 ho
 
 
 def evaluate_stream(
-    source: DataFrame, evaluate: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: dict
+    source: DataFrame,
+    key: str,
+    evaluate: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str,
+    trigger: dict,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Evaluate each batch of segments and keep one directory per batch, so a rerun replaces its own output."""
+    """Evaluate every drawing a batch touches, with the rows of earlier batches.
+
+    Rows are kept under ``target/rows``, partitioned by a hash of ``key`` and by batch; a batch
+    reads only the partitions of its own keys. Results go to ``target/results``, one directory
+    per batch. A batch that runs again replaces its own rows and results.
+    """
+    root = target.rstrip("/")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        evaluate(batch).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch_id}")
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+        tagged = batch.withColumns({"bucket": bucket, "batch": F.lit(batch_id).cast("long")})
+        writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket", "batch").parquet(f"{root}/rows")
+        kept = spark.read.schema(tagged.schema).parquet(f"{root}/rows").where(F.col("batch") <= batch_id)
+        # at most ``buckets`` numbers
+        touched = [r["bucket"] for r in kept.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]
+        kept = kept.where(F.col("bucket").isin(touched))
+        mine = kept.where(F.col("batch") == batch_id).select(key).distinct()
+        whole = kept.join(mine, key, "left_semi").select(*batch.columns)
+        evaluate(whole).write.mode("overwrite").parquet(f"{root}/results/batch={batch_id}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest_results(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The newest result of each drawing."""
+    rows = spark.read.parquet(f"{target.rstrip('/')}/results")
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
