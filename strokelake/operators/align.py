@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strokelake.config import ALIGNMENT, CANVAS, Alignment, Canvas
-from strokelake.operators.raster import SPAN, pack_ink, points_bbox, prescale
+from strokelake.operators.raster import pack_ink, points_bbox, prescale, unpack_places
 
 PAIR = "pair_id"
 RESULT = "struct<rotation:double,scale:double,tx:int,ty:int,iou:double>"
@@ -105,14 +105,10 @@ def best_shift(src, ref, pre, turn, scales, max_shift, width, height) -> tuple:
         out[at[ok, 1], at[ok, 0]] = 1
         return out
 
-    def unpack(packed) -> np.ndarray:
-        packed = np.asarray(packed)
-        return np.stack([packed % SPAN, packed // SPAN], axis=1)
-
-    points = unpack(src).astype(float)
+    points = unpack_places(src).astype(float)
     if pre and pre != 1.0:
         points = move(points, 0.0, pre, width, height).astype(float)
-    target = mask(unpack(ref))
+    target = mask(unpack_places(ref))
     spectrum = np.fft.rfft2(target)
     shifts = np.arange(-pad, pad + 1)
     best = (float(turn), 1.0, 0, 0, -1.0)

@@ -131,7 +131,7 @@ def ranges_array(ranges: list[tuple[float, float]]) -> Column:
 def assign_class(df: DataFrame, value: str, ranges: list[tuple[float, float]], out: str = "class_id") -> DataFrame:
     """First class whose inclusive range holds the value; null when none does.
 
-    A class set has at most ten ranges, so they are constants of one expression, not a join.
+    The ranges are constants of one expression, not a join.
     """
     _check_ranges(ranges)
     score = F.col(value)
@@ -142,8 +142,8 @@ def assign_class(df: DataFrame, value: str, ranges: list[tuple[float, float]], o
 
 
 def _check_ranges(ranges: list[tuple[float, float]]) -> None:
-    if not ranges or len(ranges) > 10:
-        raise ValueError("between 1 and 10 class ranges are needed")
+    if not ranges:
+        raise ValueError("class ranges are needed")
 
 
 def recount_classes(df: DataFrame, value: str, ranges: list[tuple[float, float]]) -> DataFrame:

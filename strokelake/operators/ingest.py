@@ -29,8 +29,12 @@ def first_of_hash(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ("i
 
 
 def dedup_ingest(batch: DataFrame, stored: DataFrame, order: Sequence[str] = ("uploaded_seq", "drawing_id")) -> DataFrame:
-    """Drop rows whose hash is stored already; the first of equal rows inside the batch wins."""
+    """Drop rows whose hash is stored already; the first of equal rows inside the batch wins.
+
+    A row without a hash has no content to store; ``file_status`` reports it as an error.
+    """
     known = stored.select("image_hash").distinct()
+    batch = batch.where(F.col("image_hash").isNotNull())
     winners = batch.groupBy("image_hash").agg(F.min(F.struct(*order)).alias("_f"))
     fresh = winners.join(known, "image_hash", "left_anti").select(
         "image_hash", *(F.col(f"_f.{c}").alias(c) for c in order)
@@ -49,14 +53,19 @@ def dedup_by_source(batch: DataFrame, stored: DataFrame, recordings: str = "MAT"
     return batch.withColumn("_name", name).join(known, ["source_format", "_name", "image_hash"], "left_anti").drop("_name")
 
 
+def _spread_hash(key: str = "drawing_id") -> Column:
+    """The hash as a join key; rows without one get a key of their own instead of meeting in one task."""
+    return F.coalesce(F.col("image_hash"), F.concat(F.lit("none-"), F.col(key).cast("string")))
+
+
 def duplicate_report(batch: DataFrame, uploads: DataFrame, training: DataFrame) -> DataFrame:
     """Where each batch row is stored already; the upload catalogue has priority."""
-    up = uploads.groupBy("image_hash").agg(F.min_by(F.struct("drawing_id", "original_filename", "uploaded_at"), "drawing_id").alias("u"))
+    up = uploads.where(F.col("image_hash").isNotNull()).groupBy(F.col("image_hash").alias("_key")).agg(F.min_by(F.struct("drawing_id", "original_filename", "uploaded_at"), "drawing_id").alias("u"))
     name = F.coalesce("original_filename", F.concat_ws("_", "patient_id", "task_type"))
-    tr = training.groupBy("image_hash").agg(
+    tr = training.where(F.col("image_hash").isNotNull()).groupBy(F.col("image_hash").alias("_key")).agg(
         F.min_by(F.struct("drawing_id", name.alias("shown"), "uploaded_at"), "drawing_id").alias("t")
     )
-    hit = batch.join(up, "image_hash", "left").join(tr, "image_hash", "left")
+    hit = batch.withColumn("_key", _spread_hash()).join(up, "_key", "left").join(tr, "_key", "left")
     found_u, found_t = F.col("u").isNotNull(), F.col("t").isNotNull()
     return hit.select(
         F.col("drawing_id"),
@@ -107,11 +116,14 @@ def apply_label_csv(drawings: DataFrame, csv: DataFrame, key: str = "drawing_id"
         trimmed("Task").alias("task"),
         trimmed("Total_Score").alias("score_text"),
         trimmed("Data_Quality").alias("quality_text"),
-    ).withColumns({"_p": F.lower("patient"), "_t": F.lower("task")})
+    )
+    named = (F.col("patient") != "") & (F.col("task") != "")
+    # a line that names no drawing gets a key of its own, so that such lines do not meet in one task
+    own = F.concat(F.lit("-"), F.col("line_no").cast("string"))
+    lines = lines.withColumns({"_p": F.when(named, F.lower("patient")).otherwise(own), "_t": F.lower("task")})
     targets = drawings.groupBy(F.lower("patient_id").alias("_p"), F.lower("task_type").alias("_t")).agg(
         F.min(key).alias(key)
     )
-    named = (F.col("patient") != "") & (F.col("task") != "")
     # json null/NaN never appear: text that is no number is an error
     score, quality = F.col("score_text").try_cast("double"), F.col("quality_text").try_cast("double")
     who = F.concat(escape_markup(F.col("patient")), F.lit("/"), escape_markup(F.col("task")))
@@ -155,9 +167,10 @@ def csv_report_counts(report: DataFrame) -> DataFrame:
 
 def file_status(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Per file: success, duplicate or error, and the images it yields."""
-    known = stored.select("image_hash", F.lit(True).alias("_known")).distinct()
-    first = batch.where(F.col("image_hash").isNotNull()).groupBy("image_hash").agg(F.min("drawing_id").alias("_first"))
-    rows = batch.join(first, "image_hash", "left").join(known, "image_hash", "left")
+    known = stored.where(F.col("image_hash").isNotNull()).select(F.col("image_hash").alias("_key"), F.lit(True).alias("_known")).distinct()
+    keyed = batch.withColumn("_key", _spread_hash())
+    first = batch.where(F.col("image_hash").isNotNull()).groupBy(F.col("image_hash").alias("_key")).agg(F.min("drawing_id").alias("_first"))
+    rows = keyed.join(first, "_key", "left").join(known, "_key", "left")
     status = (
         F.when(F.col("image_hash").isNull(), "error")
         .when(F.col("_known") | (F.col("_first") != F.col("drawing_id")), "duplicate")

@@ -16,7 +16,7 @@ from strokelake.operators.profile import count_rows
 from strokelake.session import cut
 
 KEY = "drawing_id"
-SPAN = 1 << 12  # packing base for a pixel position; canvases are far narrower
+SPAN = 1 << 32  # packing base for a pixel position: every 32-bit x, negative ones too, has its own place
 
 
 def grey(method: str = "luma") -> Column:
@@ -312,9 +312,20 @@ def near_pixels(seg: DataFrame, radius: float) -> DataFrame:
     return pixels.where(G.point_segment_distance(F.col("x"), F.col("y"), s) <= radius).select(KEY, "x", "y").distinct()
 
 
+def packed_place(x: str = "x") -> Column:
+    return F.col("y").cast("long") * F.lit(SPAN) + F.col(x)
+
+
+def unpack_places(packed) -> np.ndarray:
+    """Rows of x and y."""
+    packed = np.asarray(packed, dtype=np.int64)
+    y = (packed + SPAN // 2) // SPAN
+    return np.stack([packed - y * SPAN, y], axis=1)
+
+
 def pack_ink(ink_rows: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """A drawing's ink as one sorted array of packed positions; distinct pixels bound its size."""
-    return ink_rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("y") * SPAN + F.col("x"))).alias("ink"))
+    return ink_rows.groupBy(*keys).agg(F.array_sort(F.collect_set(packed_place())).alias("ink"))
 
 
 def detect_segments(ink_rows: DataFrame, cfg: Detector = DETECTOR) -> DataFrame:
@@ -339,7 +350,7 @@ def _find_lines(cfg: Detector):
 def find_lines(packed: np.ndarray, cfg: Detector = DETECTOR) -> list[tuple]:
     """Votes, longest run on the strongest lines, overlap test, erase; strict rounds, then relaxed."""
     packed = np.asarray(packed)
-    points = np.stack([packed % SPAN, packed // SPAN], axis=1).astype(np.float64)
+    points = unpack_places(packed).astype(np.float64)
     turns = np.radians(np.arange(180))
     normals = np.stack([np.cos(turns), np.sin(turns)])
     rho = np.floor(points @ normals + 0.5).astype(np.int32)
@@ -443,4 +454,4 @@ def horizontal_runs(ink_rows: DataFrame) -> DataFrame:
     order = W.partitionBy(KEY, "y").orderBy("x")
     start = F.col("x") - F.row_number().over(order)
     runs = rows.withColumn("_g", start).groupBy(KEY, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return runs.select(KEY, "y", "x0", "x1", (F.col("y") * SPAN + F.col("x0")).alias("run_id"))
+    return runs.select(KEY, "y", "x0", "x1", packed_place("x0").alias("run_id"))

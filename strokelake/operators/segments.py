@@ -51,8 +51,8 @@ def orientation_counts(seg: DataFrame) -> DataFrame:
 def segment_features(seg: DataFrame, per_record: int = 4096) -> DataFrame:
     """The feature record: ordered lists of segments, lengths and angles with counts.
 
-    A record holds up to ``per_record`` segments; larger drawings continue in further parts,
-    so that no list grows without bound.
+    A part lists up to ``per_record`` segments; larger drawings continue in further parts, so
+    that no list grows without bound. The counts are those of the whole drawing in each part.
     """
     s = G.seg()
     item = F.struct(
@@ -61,14 +61,15 @@ def segment_features(seg: DataFrame, per_record: int = 4096) -> DataFrame:
     )
     part = F.floor((F.col("line_id") - 1) / per_record).cast("int")
     packed = seg.groupBy(KEY, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    counts = orientation_counts(seg)
 
     def of(kind: str) -> Column:
-        return F.size(F.filter("items", lambda i: i["orientation"] == kind))
+        return F.col(kind).cast("int")
 
-    return packed.select(
+    return packed.join(counts, KEY).select(
         KEY,
         "part",
-        F.size("items").alias("num_lines"),
+        of("total").alias("num_lines"),
         F.transform("items", lambda i: F.array(i["x1"], i["y1"], i["x2"], i["y2"])).alias("lines"),
         F.transform("items", lambda i: i["length"]).alias("line_lengths"),
         F.transform("items", lambda i: i["angle"]).alias("line_angles"),
@@ -76,7 +77,7 @@ def segment_features(seg: DataFrame, per_record: int = 4096) -> DataFrame:
             of("horizontal").alias("horizontal"),
             of("vertical").alias("vertical"),
             of("diagonal").alias("diagonal"),
-            F.size("items").alias("total"),
+            of("total").alias("total"),
         ).alias("line_counts"),
     )
 
@@ -96,11 +97,11 @@ def features_from_json(texts: DataFrame) -> DataFrame:
     return texts.select(KEY, "part", F.from_json("feature_json", RECORD_SCHEMA).alias("r")).select(KEY, "part", "r.*")
 
 
-def segments_of_record(records: DataFrame) -> DataFrame:
-    """Back to one row per segment."""
-    lines = records.select(KEY, F.posexplode("lines").alias("pos", "line"))
+def segments_of_record(records: DataFrame, per_record: int = 4096) -> DataFrame:
+    """Back to one row per segment; numbering goes on from part to part."""
+    lines = records.select(KEY, "part", F.posexplode("lines").alias("pos", "line"))
     return lines.select(
-        KEY, (F.col("pos") + 1).alias("line_id"), *(F.col("line")[i].alias(c) for i, c in enumerate(ENDS))
+        KEY, (F.col("part") * per_record + F.col("pos") + 1).alias("line_id"), *(F.col("line")[i].alias(c) for i, c in enumerate(ENDS))
     )
 
 

@@ -65,22 +65,34 @@ def synthetic_drawings(spark, n: int, levels: int = 5) -> DataFrame:
     return numbered.withColumns(compose(F.col("complexity")))
 
 
+def distinct_places(size: Column, take: Column, tag: str, seed: int, *keys: Column) -> Column:
+    """``take`` different numbers in [0, size), every set of them with equal chance.
+
+    One draw per number: step j draws from 0..j and takes j itself when the draw is taken already.
+    """
+    def add(picked: Column, j: Column) -> Column:
+        at = F.least(F.floor(uniform(tag, seed, *keys, j) * (j + 1)), j)
+        return F.array_append(picked, F.when(F.array_contains(picked, at), j).otherwise(at))
+
+    return F.aggregate(F.sequence(size - take, size - 1), F.array().cast("array<bigint>"), add)
+
+
 def sample_pool(wanted: DataFrame, pool: DataFrame, need: str, seed: int, origin: str) -> DataFrame:
     """``need`` different pool segments for each wanted row (all of them when the pool is smaller).
 
-    The pool is numbered once in seeded order; each drawing takes consecutive numbers from its
-    own random start, wrapping at the end. That is a uniform draw without replacement, and an
-    equi-join on the number whatever the pool's size.
+    The pool is numbered once in seeded order. Each drawing draws its own numbers, every set of
+    them with equal chance, and an equi-join on the number fetches the segments whatever the
+    pool's size.
     """
     mine = pool.where(F.col("origin") == origin).select("line_key", *ENDS)
     numbered = number_rows(mine, seeded_order(F.col("line_key"), seed), "line_key", ORDER_MODULUS)
     size = mine.agg(count_rows().alias("n")).scalar()
     take = F.least(F.col(need).cast("long"), size)
-    slots = wanted.withColumn("_take", take).where(F.col("_take") > 0).select(
-        "synth_id", "complexity", F.explode(F.sequence(F.lit(0), (F.col("_take") - 1).cast("int"))).alias("slot")
+    drawn = wanted.withColumns({"_take": take, "_size": size}).where(F.col("_take") > 0).select(
+        "synth_id",
+        "complexity",
+        F.posexplode(distinct_places(F.col("_size"), F.col("_take"), f"pool-{origin}", seed, F.col("synth_id"))).alias("slot", "place"),
     )
-    start = F.floor(uniform(f"pool-{origin}", seed, F.col("synth_id")) * size)
-    drawn = slots.withColumn("place", F.pmod(start + F.col("slot"), size))
     return drawn.join(numbered, "place").select("synth_id", "complexity", "slot", F.lit(origin).alias("origin"), *ENDS)
 
 
