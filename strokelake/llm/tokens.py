@@ -16,7 +16,7 @@ import numpy as np
 
 #: Words kept per generation and worker process. A full generation becomes the old one, from which words still in use move on;
 #: so memory is bounded whatever the corpus holds.
-STORE_LIMIT = 160_000
+STORE_LIMIT = 80_000
 ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n[ \n]|[ ]\Z")
 RAW = "\0"
 ODD_RUNS = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"]
