@@ -271,10 +271,10 @@ def _(i):
     root = scratch_path(i.spark, "store")
     seeded = i.orders.select(F.col("o_orderkey").alias("drawing_id"))
     sinks.publish_snapshot(seeded, root, "uploads")
-    before = sinks.read_snapshot(i.spark, root, "uploads").agg(F.count(F.lit(1))).scalar()
-    sinks.reset_tables(i.spark, root, "RESET", ["segments"])
-    empty = sinks.read_snapshot(i.spark, root, "segments")
-    return profile.dashboard_counts(drawings=empty).withColumn("before_reset", before)
+    before = sinks.read_snapshot(i.spark, root, "uploads").count()
+    sinks.reset_tables(i.spark, root, "RESET", ["uploads"])
+    empty = sinks.read_snapshot(i.spark, root, "uploads")
+    return profile.dashboard_counts(drawings=empty).withColumn("before_reset", F.lit(before).cast("bigint"))
 
 
 def _all_templates(i):
