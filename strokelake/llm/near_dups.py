@@ -251,13 +251,13 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     marked = written(found.groupBy(F.col("doc_id").alias("_dup_id")).agg(first.alias("_first"), F.count("*").alias("_rows")), "marked")
 
-    def ids(rows: DataFrame) -> DataFrame:
-        few = rows.select("_dup_id")
-        return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    def joined(rows: DataFrame, how: str) -> DataFrame:
+        ids = rows.select("_dup_id")
+        small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return docs.join(small, docs["doc_id"].cast("long").eqNullSafe(small["_dup_id"]), how)
 
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_dup_id"))
     repeated = marked.where("_first AND _rows > 1")
     if repeated.isEmpty():
-        return docs.join(ids(marked.where("NOT _first")), same, "left_anti")
-    single = docs.join(ids(marked.where("NOT _first OR _rows > 1")), same, "left_anti")
-    return single.unionByName(docs.join(ids(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return joined(marked.where("NOT _first"), "left_anti")
+    single = joined(marked.where("NOT _first OR _rows > 1"), "left_anti")
+    return single.unionByName(joined(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -369,3 +369,13 @@ def test_pipeline(spark):
     empty = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0, name
+
+
+def test_keep_one_repeated_rows_and_clashing_names(spark):
+    from strokelake.llm.near_dups import keep_one
+
+    a, b, c = "one two three four five six seven eight", "quite another text with words of its own here", "lonely words stand here by themselves now"
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (2, a, "y"), (3, b, "z"), (None, c, "n")], "doc_id int, text string, _dup_id string")
+    got = sorted((r["doc_id"] or 0, r["text"], r["_dup_id"]) for r in keep_one(docs).collect())
+    assert got == [(0, c, "n"), (1, a, "x"), (3, b, "z")]
+    assert keep_one(docs.where("doc_id <> 1")).count() == 2 and keep_one(docs.where("false")).count() == 0
