@@ -241,13 +241,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, groups: int | None = None)
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The document of the smallest id of each component, once; all columns stay. Rows without an id cannot be told
-    apart and stay if their component has no other row.
+    """The document of the smallest id of each component, once; see :func:`keep_first`."""
+    return keep_first(docs, near_duplicates(docs, radius))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The document of the smallest id of each component of ``found`` (doc_id, component_id), once; all columns stay.
+    Rows without an id cannot be told apart and stay if their component has no other row.
 
     Only ids are grouped. The ids to drop are broadcast up to ``BROADCAST_IDS`` of them, so that the texts stay where they
     are; beyond that the join shuffles the documents. Texts are compared for ids that occur more than once alone.
     """
-    found = near_duplicates(docs, radius)
     first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     marked = written(found.groupBy(F.col("doc_id").alias("_dup_id")).agg(first.alias("_first"), F.count("*").alias("_rows")), "marked")
 
