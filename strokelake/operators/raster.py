@@ -371,28 +371,38 @@ def find_lines(packed: np.ndarray, cfg: Detector = DETECTOR) -> list[tuple]:
     return [s for s in kept if np.hypot(s[2] - s[0], s[3] - s[1]) >= cfg.final_length]
 
 
-def _longest_run(points, rho, normals, votes_needed, length_needed, max_gap, tried: int = 40):
+def _longest_run(points, rho, normals, votes_needed, length_needed, max_gap):
     base = int(rho.min())
     width = int(rho.max()) - base + 1
     votes = np.bincount(((rho - base) + np.arange(rho.shape[1], dtype=np.int32) * width).ravel())
     strong = np.flatnonzero(votes >= votes_needed)
-    longest, best = -1.0, None
-    for cell in strong[np.argsort(-votes[strong], kind="stable")][:tried]:
-        turn, level = divmod(int(cell), width)
+    longest, mark, best = -1.0, (0, 0), None
+    held = None
+    for cell in map(int, strong):
+        turn, level = divmod(cell, width)
+        if turn != held:
+            held, by_rho = turn, np.argsort(rho[:, turn], kind="stable")
+            sorted_rho = rho[by_rho, turn]
         # whole-degree directions drift by up to half a degree over a long stroke
-        on = points[np.abs(rho[:, turn] - (level + base)) <= 3]
+        low, high = np.searchsorted(sorted_rho, [level + base - 3, level + base + 4])
+        on = points[np.sort(by_rho[low:high])]
         along = on @ np.array([-normals[1, turn], normals[0, turn]])
+        # no run of the band is longer than its diagonal; it is at most seven pixels wide and a pixel wider by rounding
+        if np.hypot(along.max() - along.min(), 8) < max(longest, length_needed):
+            continue
         order = np.argsort(along, kind="stable")
         on, along = on[order], along[order]
         edges = np.flatnonzero(np.diff(along) > max_gap)
         starts, ends = np.r_[0, edges + 1], np.r_[edges, len(along) - 1]
-        i = int(np.argmax(along[ends] - along[starts]))
-        if ends[i] - starts[i] + 1 < votes_needed:
+        full = ends - starts + 1 >= votes_needed
+        starts, ends = starts[full], ends[full]
+        if not len(starts):
             continue
-        a, b = on[starts[i]], on[ends[i]]
-        length = float(np.hypot(*(b - a)))
-        if length >= length_needed and length > longest:
-            longest, best = length, (*a.astype(int), *b.astype(int))
+        lengths = np.hypot(*(on[ends] - on[starts]).T)
+        i = int(np.argmax(lengths))
+        here = (int(votes[cell]), -cell)  # of equal lengths the cell with most votes counts
+        if lengths[i] >= length_needed and (lengths[i], here) > (longest, mark):
+            longest, mark, best = float(lengths[i]), here, (*on[starts[i]].astype(int), *on[ends[i]].astype(int))
     return best
 
 
