@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strokelake.llm import decontaminate, grammar, line_rules, near_dups, packing, repeats, separators, site_lines, toxicity, wrappers
+from strokelake.llm import (
+    conversations, decontaminate, grammar, hard_negatives, line_rules, near_dups, packing, quality_model, repeats, separators, site_lines, toxicity, wrappers,
+)
 from strokelake.llm.common import documents, table
 from strokelake.llm.tokens import default_path
 from strokelake.session import scratch_path
@@ -78,3 +80,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_site_spread", site_lines.ORACLE)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.remove_spread_lines(documents(spark, folder)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op11_grammar_repair", conversations.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+
+
+@query("op12_quadratic_discriminant")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.score(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op13_rtree_negatives", hard_negatives.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh label is moved on first; anchors are the rows whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    points = hard_negatives.quantised(table(spark, folder, "embeddings"), label=label)
+    return hard_negatives.mine(points, F.col("id") % 100 == 0)
