@@ -15,11 +15,15 @@ BROADCAST_BYTES = 8 << 20
 def join_small(
     rows: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Equi-join with few rows per key, so that a hot key of ``rows`` is not brought together.
+    """Equi-join with few rows per key, so that a hot key of ``rows`` is not brought together."""
+    return rows.join(measured(small, limit), on, how)
 
-    The small side is written once and measured. Up to ``limit`` bytes it is broadcast; beyond
-    that the join shuffles both sides, and Spark splits skewed keys at run time.
+
+def measured(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of several joins, written once and measured: marked for broadcast up to ``limit`` bytes.
+
+    Beyond that its joins shuffle both sides, and Spark splits skewed keys at run time.
     """
     held = cut(small)
     size = held.agg(F.sum(F.octet_length(F.to_json(F.struct(*held.columns))))).first()[0] or 0
-    return rows.join(F.broadcast(held) if size <= limit else held, on, how)
+    return F.broadcast(held) if size <= limit else held

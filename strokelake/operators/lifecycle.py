@@ -1,7 +1,8 @@
 """Upserts, deletes, hash maintenance, filters, paging, template edits.
 
-Plain Parquet has no in-place update: each operator returns the new rows, and
-``strokelake.sources.sinks.publish_snapshot`` puts them in place of the old ones.
+Plain Parquet has no in-place update: operators on DataFrames return the new rows, and
+``strokelake.sources.sinks.publish_snapshot`` puts them in place of the old ones. Updates of a few
+keys go through ``strokelake.sources.keyed_table``, which rewrites only the files that hold them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strokelake.functions import labels as L
 from strokelake.functions.values import content_hash
+from strokelake.operators.keyed import measured
 from strokelake.operators.profile import count_rows
+from strokelake.session import cut
 
 
 def upsert(
@@ -57,6 +60,19 @@ def delete_evaluations(
     return kept, drawings.join(orphans, "drawing_id", "left_anti"), features.join(orphans, "drawing_id", "left_anti")
 
 
+def delete_stored_evaluations(evals, drawings, features, ids: DataFrame):
+    """The same cascade on stored tables (``KeyedTable``): only files with a removed key are written again.
+
+    Orphans are looked for among the drawings that the removed rows name, not among all.
+    """
+    gone = measured(ids.select("id").distinct())
+    rows = evals.read()
+    named = measured(rows.join(gone, "id", "left_semi").select("image_id").distinct())
+    left = rows.join(named, "image_id", "left_semi").join(gone, "id", "left_anti").select("image_id")
+    orphans = cut(named.join(left.distinct(), "image_id", "left_anti").select(F.col("image_id").alias("drawing_id")))
+    return evals.delete(gone), drawings.delete(orphans), features.delete(orphans)
+
+
 def backfill_hash(df: DataFrame, original: str, processed: str) -> DataFrame:
     """Fill only missing hashes; adds the column where it does not exist yet."""
     if "image_hash" not in df.columns:

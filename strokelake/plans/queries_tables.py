@@ -9,6 +9,7 @@ from strokelake.operators import catalog, ingest, lifecycle, metrics, profile, q
 from strokelake.operators import split as split_ops
 from strokelake.plans.registry import query, r, rounded
 from strokelake.session import scratch_path
+from strokelake.sources.keyed_table import KeyedTable
 from strokelake.sources import files, sinks, tables
 
 # --- scans ---------------------------------------------------------------------------------
@@ -174,31 +175,27 @@ def _(i):
     return rounded(segments.segments_of_record(segments.features_from_json(segments.features_to_json(records))))
 
 
-query(
+@query(
     "snk_05_upsert",
     "evaluations",
-    """SELECT id, image_id, CAST(CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN correct_lines + 100 ELSE correct_lines END AS BIGINT) AS correct_lines FROM evaluations""",
-)(
-    lambda i: rounded(
-        lifecycle.upsert(
-            i.evaluations.select("id", "image_id", "correct_lines"),
-            i.evaluations.where("id % 3 = 0 OR id % 7 = 0").select(
-                "id", F.when(F.col("id") % 3 != 0, F.col("correct_lines") + 100).alias("correct_lines")
-            ),
-            ["id"],
-            ["correct_lines"],
-        )
-    )
+    """SELECT id, image_id, CAST(CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN correct_lines + 100 ELSE correct_lines END AS BIGINT) AS correct_lines FROM evaluations
+UNION ALL SELECT -id - 1, NULL, 7 FROM evaluations WHERE id % 50 = 0""",
 )
-query(
+def _(i):
+    stored = KeyedTable.create(i.evaluations.select("id", "image_id", "correct_lines"), scratch_path(i.spark, "store"), "evaluations", ["id"])
+    edits = i.evaluations.where("id % 3 = 0 OR id % 7 = 0").select("id", F.when(F.col("id") % 3 != 0, F.col("correct_lines") + 100).alias("correct_lines"))
+    fresh = i.evaluations.where("id % 50 = 0").select((-F.col("id") - 1).alias("id"), F.lit(7).alias("correct_lines"))
+    return rounded(stored.upsert(edits.unionByName(fresh), ["correct_lines"], insert=True).read())
+
+
+@query(
     "snk_06_clear_labels",
     "drawings",
     "SELECT drawing_id, CASE WHEN drawing_id % 4 <> 0 THEN features_data END AS features_data FROM drawings",
-)(
-    lambda i: lifecycle.clear_labels(
-        i.drawings.select("drawing_id", "features_data"), i.drawings.where("drawing_id % 4 = 0").select("drawing_id")
-    )
 )
+def _(i):
+    stored = KeyedTable.create(i.drawings.select("drawing_id", "features_data"), scratch_path(i.spark, "store"), "drawings", ["drawing_id"])
+    return stored.change(i.drawings.where("drawing_id % 4 = 0"), lambda rows: rows.withColumn("features_data", F.lit(None).cast("string"))).read()
 
 
 @query(
@@ -211,15 +208,18 @@ UNION ALL SELECT 'features', count(*) FROM customer WHERE c_custkey % 2 = 0 AND
 orphan AS (SELECT DISTINCT image_id FROM evaluations WHERE image_id NOT IN (SELECT image_id FROM kept))""",
 )
 def _(i):
-    drawings = i.customer.select(F.col("c_custkey").alias("drawing_id"))
-    gone = i.evaluations.where("id % 3 = 1").select("id")
-    kept, drawings, features = lifecycle.delete_evaluations(i.evaluations, drawings, drawings.where("drawing_id % 2 = 0"), gone)
-    return profile.dashboard_counts(evaluations=kept, drawings=drawings, features=features)
+    root, ids = scratch_path(i.spark, "store"), i.customer.select(F.col("c_custkey").alias("drawing_id"))
+    evaluations = KeyedTable.create(i.evaluations.select("id", "image_id"), root, "evaluations", ["id"])
+    drawings = KeyedTable.create(ids, root, "drawings", ["drawing_id"])
+    features = KeyedTable.create(ids.where("drawing_id % 2 = 0"), root, "features", ["drawing_id"])
+    kept, drawings, features = lifecycle.delete_stored_evaluations(evaluations, drawings, features, i.evaluations.where("id % 3 = 1").select("id"))
+    return profile.dashboard_counts(evaluations=kept.read(), drawings=drawings.read(), features=features.read())
 
 
-query("snk_08_delete_by_key", "cases", "SELECT test_id FROM cases WHERE test_id % 6 <> 2")(
-    lambda i: lifecycle.delete_by_key(i.cases.select("test_id"), i.cases.where("test_id % 6 = 2").select("test_id"), "test_id")
-)
+@query("snk_08_delete_by_key", "cases", "SELECT test_id FROM cases WHERE test_id % 6 <> 2")
+def _(i):
+    stored = KeyedTable.create(i.cases.select("test_id"), scratch_path(i.spark, "store"), "test_cases", ["test_id"])
+    return stored.delete(i.cases.where("test_id % 6 = 2")).read()
 
 
 @query(
