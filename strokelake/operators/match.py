@@ -16,7 +16,8 @@ from strokelake.operators.segments import ENDS, KEY
 
 REF_KEY = "reference_id"
 EXACT_MASK = 12  # templates (or drawings) up to this size use the subset table
-BIG = 1e6
+PLACES = 1e8  # similarities are compared to eight places
+TIE_SPAN, TIE_PRIME, TIE_FACTOR = 65536, 65521, 40503  # weights of (line, template segment) that order equal totals
 SMALL_DRAWING = 64  # a drawing's pair list is built directly up to here, and pruned beyond
 
 
@@ -124,7 +125,7 @@ def assign_segments(
     """Optimal one-to-one assignment per drawing, then the similarity threshold.
 
     Exactly ``min(segments, template)`` pairs with the least total of (1 - similarity) are
-    chosen before the threshold. ``threshold=None`` returns them all.
+    chosen before the threshold; ``ordered_cost`` says which of several. ``threshold=None`` returns them all.
     """
     packed = _per_drawing(pairs, size, bounded).select(
         KEY,
@@ -151,8 +152,8 @@ def solve_batch(lines, refs, sims) -> pd.DataFrame:
     out = {name: [None] * count for name in ("line_id", "ref_id", "similarity")}
     tables, shapes = [], {}
     for i in range(count):
-        rows, r = np.unique(lines.iloc[i], return_inverse=True)
-        cols, c = np.unique(refs.iloc[i], return_inverse=True)
+        rows, r = np.unique(np.asarray(lines.iloc[i], np.int64), return_inverse=True)
+        cols, c = np.unique(np.asarray(refs.iloc[i], np.int64), return_inverse=True)
         sim = np.full((len(rows), len(cols)), np.nan)
         sim[r, c] = sims.iloc[i]
         tables.append((rows, cols, sim))
@@ -162,8 +163,7 @@ def solve_batch(lines, refs, sims) -> pd.DataFrame:
         step = len(members) if wide > EXACT_MASK else max(1, 4_000_000 // (max(n, m) << wide))
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            sims3 = np.stack([tables[i][2] for i in part])
-            cost = np.where(np.isnan(sims3), BIG, 1.0 - sims3)
+            cost = np.stack([ordered_cost(*tables[i]) for i in part])
             for i, (rows_at, cols_at) in zip(part, least_cost_pairs(cost)):
                 rows, cols, sim = tables[i]
                 out["line_id"][i] = rows[rows_at].astype("int32")
@@ -172,6 +172,21 @@ def solve_batch(lines, refs, sims) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def ordered_cost(lines: np.ndarray, refs: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Whole-number costs in which assignments of equal total similarity (to ``PLACES``) differ.
+
+    The first digits are 1 - similarity, the last ones a fixed weight of the two ids, so every way of solving (and SQL)
+    takes the same one of several best assignments. Only the pairs that ``prune_candidates`` would keep count.
+    """
+    known = ~np.isnan(sim)
+    if sim.shape[0] > sim.shape[1]:
+        order = np.lexsort([np.broadcast_to(lines[:, None], sim.shape), np.where(known, -sim, np.inf)], axis=0)
+        place = np.argsort(order, axis=0)
+        known &= place < sim.shape[1]
+    weight = ((lines % TIE_PRIME + 1)[:, None] * (refs + 1)[None, :] * TIE_FACTOR) % TIE_PRIME
+    return np.where(known, np.rint((1.0 - np.nan_to_num(sim)) * PLACES), 2 * PLACES) * TIE_SPAN + weight
+
+
 def least_cost_pairs(cost: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Row and column places of the cheapest full matching for each matrix of a stack (d, n, m)."""
     d, n, m = cost.shape

@@ -12,6 +12,7 @@ from strokelake.functions import labels as L
 from strokelake.operators import augment, lifecycle, match, scaler as scaling, segments, split, synth
 from strokelake.operators.ingest import dedup_ingest
 from strokelake.session import cut
+from strokelake.sources import evaluation_log
 
 KEY = "drawing_id"
 
@@ -50,6 +51,16 @@ def evaluate_drawings(
     return match.match_summary(matches, used, match.template_size(ref), drawings)
 
 
+def store_evaluations(
+    seg: DataFrame, ref: DataFrame, drawings: DataFrame, root: str, run: str, at: str, reference_id: int = 1, suppress: bool = True
+) -> DataFrame:
+    """Evaluate drawings (``drawing_id``, ``image_hash``) and append the results once; all stored evaluations."""
+    spark = seg.sparkSession
+    summary = evaluate_drawings(seg, ref, drawings, suppress=suppress).join(drawings.select(KEY, "image_hash"), KEY)
+    rows = evaluation_log.evaluation_rows(summary, run, reference_id, at)
+    return evaluation_log.append_run(spark, root, rows, run).read()
+
+
 @dataclass
 class TrainingSet:
     """What training needs: samples with labels, their segments, ids per side, scaler, findings."""

@@ -9,6 +9,8 @@ from strokelake.functions import geometry as G, values as V
 from strokelake.operators import align, augment, match, profile, raster, segments, synth
 from strokelake.plans import pipelines
 from strokelake.plans.registry import query, r, rounded
+from strokelake.session import cut, scratch_path
+from strokelake.sources import evaluation_log
 
 LINE = "CAST(line_id AS BIGINT) AS line_id"
 ENDS = "CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2"
@@ -346,29 +348,43 @@ query(
     ctes=GREEDY,
     recursive=True,
 )(lambda i: rounded(pipelines.match_drawings(i.segments, _ref(i), optimal=False, threshold=None), 4))
-SUMMARY = f"""SELECT s.drawing_id, count(p.line_id) AS correct_lines, 9 - count(p.line_id) AS missing_lines, count_if(p.line_id IS NULL AND {LEN} >= 30) AS extra_lines,
- round(count(p.line_id) / 9.0::DOUBLE, 4) AS similarity_score, count(*) AS detected_lines FROM segments s LEFT JOIN (SELECT * FROM picks WHERE similarity >= 0.5) p ON p.drawing_id = s.drawing_id AND p.line_id = s.line_id GROUP BY 1"""
-
-
-def _greedy_summary(i):
+# whole-number costs: 1 - similarity to eight places, then a weight of the ids that orders equal totals
+COST = f"CAST(round((1 - sim) * {match.PLACES:.0f}) AS BIGINT) * {match.TIE_SPAN} + ((line_id % {match.TIE_PRIME} + 1) * (ref_id + 1) * {match.TIE_FACTOR}) % {match.TIE_PRIME}"
+OPTIMAL = f"""{PAIRS},
+ranked AS (SELECT drawing_id, line_id, ref_id, {COST} AS cost, sim, dense_rank() OVER (PARTITION BY drawing_id ORDER BY line_id) AS rn FROM pairs),
+sizes AS (SELECT drawing_id, count(*) AS n FROM segments GROUP BY 1), known AS (SELECT count(*) AS refs FROM ref_segments),
+options AS (SELECT drawing_id, rn, 1 << ref_id AS bit, cost, [{{'l': line_id, 'r': ref_id, 's': sim}}] AS pick FROM ranked
+ UNION ALL SELECT s.drawing_id, unnest(range(1, s.n + 1)), 0, 0::BIGINT, [] FROM sizes s, known WHERE s.n > refs),
+walk AS (SELECT drawing_id, 0::BIGINT AS rn, 0::BIGINT AS mask, 0::BIGINT AS cost, CAST([] AS STRUCT(l INTEGER, r INTEGER, s DOUBLE)[]) AS chosen FROM sizes
+ UNION ALL SELECT w.drawing_id, any_value(o.rn), w.mask | o.bit, min(w.cost + o.cost), arg_min(list_concat(w.chosen, o.pick), w.cost + o.cost) FROM walk w JOIN options o ON o.drawing_id = w.drawing_id AND o.rn = w.rn + 1 AND (w.mask & o.bit) = 0
+ GROUP BY w.drawing_id, w.mask | o.bit),
+solved AS (SELECT w.drawing_id, arg_min(w.chosen, w.cost) AS chosen FROM walk w JOIN sizes s ON s.drawing_id = w.drawing_id AND s.n = w.rn, known WHERE bit_count(w.mask) = least(s.n, refs) GROUP BY 1),
+picks AS (SELECT drawing_id, p.l AS line_id, p.r AS ref_id, p.s AS similarity FROM (SELECT drawing_id, unnest(chosen) AS p FROM solved))"""
+REFS = "(SELECT count(*) FROM ref_segments)"
+SUMMARY = f"""SELECT s.drawing_id, count(p.line_id) AS correct_lines, {REFS} - count(p.line_id) AS missing_lines, count_if(p.line_id IS NULL AND {LEN} >= 30) AS extra_lines,
+ round(count(p.line_id) / CAST({REFS} AS DOUBLE), 4) AS similarity_score, count(*) AS detected_lines FROM segments s LEFT JOIN (SELECT * FROM picks WHERE similarity >= 0.5) p ON p.drawing_id = s.drawing_id AND p.line_id = s.line_id GROUP BY 1"""
+
+
+def _summary(i, optimal=True):
     ref = _ref(i)
-    return match.match_summary(pipelines.match_drawings(i.segments, ref, optimal=False), i.segments, match.template_size(ref))
+    return match.match_summary(pipelines.match_drawings(i.segments, ref, optimal), i.segments, match.template_size(ref))
 
 
-query("seg_08_greedy_summary", "segments ref_segments", SUMMARY, ctes=GREEDY, recursive=True)(lambda i: rounded(_greedy_summary(i), 4))
+query("seg_08_greedy_summary", "segments ref_segments", SUMMARY, ctes=GREEDY, recursive=True)(lambda i: rounded(_summary(i, optimal=False), 4))
+query("seg_08_optimal_summary", "segments ref_segments", SUMMARY, ctes=OPTIMAL, recursive=True)(lambda i: rounded(_summary(i), 4))
 query(
     "agg_13_match_summary",
     "segments ref_segments",
-    f"""SELECT d.drawing_id, coalesce(correct_lines, 0) AS correct_lines, 9 - coalesce(correct_lines, 0) AS missing_lines, coalesce(extra_lines, 0) AS extra_lines,
+    f"""SELECT d.drawing_id, coalesce(correct_lines, 0) AS correct_lines, {REFS} - coalesce(correct_lines, 0) AS missing_lines, coalesce(extra_lines, 0) AS extra_lines,
  coalesce(similarity_score, 0) AS similarity_score, coalesce(detected_lines, 0) AS detected_lines FROM (SELECT o_orderkey AS drawing_id FROM orders UNION SELECT l_orderkey FROM lineitem) d LEFT JOIN ({SUMMARY}) s USING (drawing_id)""",
-    ctes=GREEDY,
+    ctes=OPTIMAL,
     recursive=True,
 )(
     lambda i: rounded(
         match.match_summary(
-            pipelines.match_drawings(i.segments, _ref(i), optimal=False),
+            pipelines.match_drawings(i.segments, _ref(i)),
             i.segments,
-            9,
+            match.template_size(_ref(i)),
             i.orders.select(F.col("o_orderkey").alias("drawing_id")).union(i.lineitem.select("l_orderkey")).distinct(),
         ),
         4,
@@ -377,10 +393,10 @@ query(
 query(
     "agg_14_overall_metrics",
     "segments ref_segments",
-    f"SELECT drawing_id, correct_lines, missing_lines, extra_lines, similarity_score, 9::BIGINT AS total_reference_lines, detected_lines AS total_detected_lines FROM ({SUMMARY})",
-    ctes=GREEDY,
+    f"SELECT drawing_id, correct_lines, missing_lines, extra_lines, similarity_score, {REFS} AS total_reference_lines, detected_lines AS total_detected_lines FROM ({SUMMARY})",
+    ctes=OPTIMAL,
     recursive=True,
-)(lambda i: rounded(match.overall_metrics(_greedy_summary(i), 9), 4))
+)(lambda i: rounded(match.overall_metrics(_summary(i), match.template_size(_ref(i))), 4))
 query(
     "seg_07_tag_matches",
     "segments ref_segments",
@@ -388,9 +404,9 @@ query(
 FROM segments s LEFT JOIN m p ON p.drawing_id = s.drawing_id AND p.line_id = s.line_id
 UNION ALL SELECT d.drawing_id, 'reference', CAST(f.ref_id AS BIGINT), CASE WHEN p.ref_id IS NULL THEN 'missing' ELSE 'matched' END
 FROM (SELECT DISTINCT drawing_id FROM segments) d CROSS JOIN ref_segments f LEFT JOIN m p ON p.drawing_id = d.drawing_id AND p.ref_id = f.ref_id""",
-    ctes=f"{GREEDY}, m AS (SELECT * FROM picks WHERE similarity >= 0.5)",
+    ctes=f"{OPTIMAL}, m AS (SELECT * FROM picks WHERE similarity >= 0.5)",
     recursive=True,
-)(lambda i: rounded(match.tag_matches(i.segments, _ref(i), pipelines.match_drawings(i.segments, _ref(i), optimal=False))))
+)(lambda i: rounded(match.tag_matches(i.segments, _ref(i), pipelines.match_drawings(i.segments, _ref(i)))))
 query("seg_08_evaluate_drawings", "", None)(
     lambda i: rounded(
         pipelines.evaluate_drawings(
@@ -402,7 +418,37 @@ query("seg_08_evaluate_drawings", "", None)(
         4,
     )
 )
-query("seg_08_optimal_summary", "", None)(lambda i: rounded(pipelines.evaluate_drawings(i.segments, _ref(i), suppress=False), 4))
+STORED = f"""{OPTIMAL}, summary AS ({SUMMARY}),
+named AS (SELECT s.*, sha256(CAST(drawing_id - drawing_id % 2 AS VARCHAR)) AS image_hash FROM summary s),
+one AS (SELECT image_hash, coalesce(min(drawing_id) FILTER (drawing_id % 3 = 0), min(drawing_id)) AS drawing_id, 'first' AS run FROM named WHERE drawing_id % 3 < 2 GROUP BY 1
+ UNION ALL SELECT image_hash, min(drawing_id), 'second' FROM named GROUP BY 1)"""
+
+
+@query(
+    "seg_08_stored_evaluations",
+    "segments ref_segments",
+    """SELECT o.run, o.image_hash, n.drawing_id AS image_id, 1::BIGINT AS reference_id, n.correct_lines, n.missing_lines, n.extra_lines, n.similarity_score
+FROM one o JOIN named n ON n.drawing_id = o.drawing_id""",
+    ctes=STORED,
+    recursive=True,
+)
+def _(i):
+    """A run, the same run with more drawings, a run that breaks before it is published, that run whole, and again."""
+    root, at = scratch_path(i.spark, "store"), "2024-01-01 00:00:00"
+    drawings = i.segments.select("drawing_id").distinct().select("drawing_id", F.sha2((F.col("drawing_id") - F.col("drawing_id") % 2).cast("string"), 256).alias("image_hash"))
+    summary = cut(_summary(i).join(drawings, "drawing_id"))
+
+    def rows(run, part):
+        return evaluation_log.evaluation_rows(summary.where(part), run, 1, at)
+
+    evaluation_log.append_run(i.spark, root, rows("first", "drawing_id % 3 = 0"), "first")
+    log = evaluation_log.append_run(i.spark, root, rows("first", "drawing_id % 3 < 2"), "first")
+    log._written(rows("second", "drawing_id % 5 = 0"))  # files of a broken run
+    evaluation_log.append_run(i.spark, root, rows("second", "true"), "second")
+    log = evaluation_log.append_run(i.spark, root, rows("second", "true"), "second")
+    return rounded(log.read().select("run", "image_hash", "image_id", "reference_id", "correct_lines", "missing_lines", "extra_lines", "similarity_score"), 4)
+
+
 query(
     "seg_09_reference_status",
     "segments",

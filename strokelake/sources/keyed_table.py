@@ -68,6 +68,11 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._rows(self.files)
 
+    def read_partition(self, **values: str) -> DataFrame:
+        """Rows of one partition, by the text of its partition columns; files of the others are not opened."""
+        parts = [f"/{name}={value}/" for name, value in values.items()]
+        return self._rows([f for f in self.files if all(p in f["path"] for p in parts)])
+
     def _rows(self, files: list[dict], *more) -> DataFrame:
         columns = [F.col(c) for c in self.schema.names]
         if not files:
