@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from strokelake.config import AUGMENTATION
@@ -288,15 +290,16 @@ def _expected(i):
     )
 
 
+SUPPRESSED = f"""{OVERLAP}, both_ways AS (SELECT drawing_id, i, j FROM o UNION ALL SELECT drawing_id, j, i FROM o),
+ranked AS (SELECT g.drawing_id, g.line_id, row_number() OVER (PARTITION BY g.drawing_id ORDER BY len DESC, line_id) AS rn, count(*) OVER (PARTITION BY g.drawing_id) AS n,
+ coalesce(x.others, []) AS others FROM g LEFT JOIN (SELECT drawing_id, i, list(j) AS others FROM both_ways GROUP BY 1, 2) x ON x.drawing_id = g.drawing_id AND x.i = g.line_id),
+walk AS (SELECT drawing_id, rn, n, [line_id] AS kept FROM ranked WHERE rn = 1
+ UNION ALL SELECT r.drawing_id, r.rn, r.n, CASE WHEN list_has_any(w.kept, r.others) THEN w.kept ELSE list_append(w.kept, r.line_id) END FROM walk w JOIN ranked r ON r.drawing_id = w.drawing_id AND r.rn = w.rn + 1)"""
 query(
     "seg_01_suppress_overlaps",
     "segments",
     """SELECT drawing_id, CAST(unnest(kept) AS BIGINT) AS line_id FROM walk WHERE rn = n""",
-    ctes=f"""{OVERLAP}, both_ways AS (SELECT drawing_id, i, j FROM o UNION ALL SELECT drawing_id, j, i FROM o),
-ranked AS (SELECT g.drawing_id, g.line_id, row_number() OVER (PARTITION BY g.drawing_id ORDER BY len DESC, line_id) AS rn, count(*) OVER (PARTITION BY g.drawing_id) AS n,
- coalesce(x.others, []) AS others FROM g LEFT JOIN (SELECT drawing_id, i, list(j) AS others FROM both_ways GROUP BY 1, 2) x ON x.drawing_id = g.drawing_id AND x.i = g.line_id),
-walk AS (SELECT drawing_id, rn, n, [line_id] AS kept FROM ranked WHERE rn = 1
- UNION ALL SELECT r.drawing_id, r.rn, r.n, CASE WHEN list_has_any(w.kept, r.others) THEN w.kept ELSE list_append(w.kept, r.line_id) END FROM walk w JOIN ranked r ON r.drawing_id = w.drawing_id AND r.rn = w.rn + 1)""",
+    ctes=SUPPRESSED,
     recursive=True,
 )(lambda i: rounded(segments.suppress_overlaps(i.segments).select("drawing_id", "line_id")))
 query("seg_02_merge_collinear", "", None)(lambda i: segments.merge_collinear(i.segments))
@@ -407,7 +410,23 @@ FROM (SELECT DISTINCT drawing_id FROM segments) d CROSS JOIN ref_segments f LEFT
     ctes=f"{OPTIMAL}, m AS (SELECT * FROM picks WHERE similarity >= 0.5)",
     recursive=True,
 )(lambda i: rounded(match.tag_matches(i.segments, _ref(i), pipelines.match_drawings(i.segments, _ref(i)))))
-query("seg_08_evaluate_drawings", "", None)(
+# suppression, then the matching of what it kept
+KEPT = SUPPRESSED.replace("walk", "shrink").replace("ranked", "by_length") + ", kept_segments AS (SELECT s.* FROM segments s JOIN (SELECT drawing_id, unnest(kept) AS line_id FROM shrink WHERE rn = n) USING (drawing_id, line_id))"
+NEW_DRAWINGS = """fresh AS (SELECT arg_min(drawing_id, {'s': uploaded_seq, 'd': drawing_id}) AS drawing_id FROM drawings WHERE drawing_id % 5 <> 0 AND image_hash NOT IN (SELECT image_hash FROM drawings WHERE drawing_id % 5 = 0) GROUP BY image_hash)"""
+
+
+def _of_kept(text: str) -> str:
+    return re.sub(r"\bsegments\b", "kept_segments", text)
+
+
+query(
+    "seg_08_evaluate_drawings",
+    "segments ref_segments drawings",
+    f"""SELECT d.drawing_id, coalesce(correct_lines, 0) AS correct_lines, {REFS} - coalesce(correct_lines, 0) AS missing_lines, coalesce(extra_lines, 0) AS extra_lines,
+ coalesce(similarity_score, 0) AS similarity_score, coalesce(detected_lines, 0) AS detected_lines FROM fresh d LEFT JOIN ({_of_kept(SUMMARY)}) s USING (drawing_id)""",
+    ctes=f"{KEPT}, {_of_kept(OPTIMAL)}, {NEW_DRAWINGS}",
+    recursive=True,
+)(
     lambda i: rounded(
         pipelines.evaluate_drawings(
             i.segments,
@@ -418,6 +437,8 @@ query("seg_08_evaluate_drawings", "", None)(
         4,
     )
 )
+
+
 STORED = f"""{OPTIMAL}, summary AS ({SUMMARY}),
 named AS (SELECT s.*, sha256(CAST(drawing_id - drawing_id % 2 AS VARCHAR)) AS image_hash FROM summary s),
 one AS (SELECT image_hash, coalesce(min(drawing_id) FILTER (drawing_id % 3 = 0), min(drawing_id)) AS drawing_id, 'first' AS run FROM named WHERE drawing_id % 3 < 2 GROUP BY 1
