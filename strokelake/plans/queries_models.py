@@ -12,6 +12,7 @@ from strokelake.plans.queries_segments import GREEDY, SUMMARY
 from strokelake.plans.registry import query, r, rounded
 from strokelake.session import scratch_path
 from strokelake.streaming import jobs
+from strokelake.streaming.known_hashes import KnownHashes
 
 # --- images --------------------------------------------------------------------------------
 
@@ -236,14 +237,12 @@ def _collect(i, stream, mode: str):
 )
 def _(i):
     target, checkpoint = scratch_path(i.spark, "ingested"), scratch_path(i.spark, "ingest-state")
-    feed = _source(i, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id")).alias("at"))
-    stored = i.drawings.where("drawing_id % 5 = 0").select("image_hash").distinct()
-    stored.withColumns({"doc_id": F.lit(-1).cast("bigint"), "text": F.lit(None).cast("string"), "at": F.lit(None).cast("timestamp")}).select(
-        "doc_id", "text", "at", "image_hash"
-    ).write.parquet(target)
-    stream = jobs.ingest_stream(feed, "at", "3650 days", "text", "text")
-    jobs.start_ingest(stream, target, checkpoint, ("at", "doc_id"), NOW).awaitTermination()
-    return i.spark.read.parquet(target).select("image_hash")
+    feed = _source(i, "documents").select("doc_id", "text")
+    stored = i.drawings.where("drawing_id % 5 = 0").select(F.col("drawing_id").alias("doc_id"), F.col("body").alias("text"), "image_hash", F.current_timestamp().alias("ingested_at"))
+    known = KnownHashes(i.spark, target, digits=1)
+    known.add(stored, "earlier", ["doc_id"])
+    jobs.start_ingest(jobs.ingest_stream(feed, "text", "text"), target, checkpoint, ("doc_id",), NOW, digits=1).awaitTermination()
+    return known.rows().select("image_hash")
 
 
 @query(

@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strokelake.functions import labels as L
 from strokelake.functions.values import content_hash
-from strokelake.operators.ingest import dedup_ingest
 from strokelake.operators.profile import count_rows
+from strokelake.streaming.known_hashes import KnownHashes, commit_name
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -22,27 +22,23 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
-def ingest_stream(source: DataFrame, at: str, delay: str, original: str, processed: str) -> DataFrame:
-    """Feed with content hashes, each hash once within the allowed delay."""
-    hashed = source.withColumn("image_hash", content_hash(F.col(original), F.col(processed)))
-    return hashed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["image_hash"])
+def ingest_stream(source: DataFrame, original: str, processed: str, window: str = "1 day") -> DataFrame:
+    """Feed with content hashes; copies that arrive within ``window`` are dropped by keyed state.
+
+    The state runs on the time of arrival, so no row is ever late and the state holds the hashes of one window. Older copies
+    are found in the store of known hashes.
+    """
+    hashed = source.withColumns({"image_hash": content_hash(F.col(original), F.col(processed)), "ingested_at": F.current_timestamp()})
+    return hashed.withWatermark("ingested_at", window).dropDuplicatesWithinWatermark(["image_hash"])
 
 
-def start_ingest(stream: DataFrame, target: str, checkpoint: str, order: tuple[str, str], trigger: dict) -> StreamingQuery:
-    """Append rows whose hash the target does not hold yet.
+def start_ingest(stream: DataFrame, target: str, checkpoint: str, order: tuple[str, ...], trigger: dict, digits: int = 2) -> StreamingQuery:
+    """Append rows whose hash the target (``KnownHashes``) does not hold yet.
 
-    The stored hashes are read per batch (one pruned column). A batch that is run again after a
-    failure finds its own rows stored and appends nothing.
+    A batch reads the lookup partitions of its own hashes only. A batch that runs again after a failure replaces its own commit.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(target).select("image_hash")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            stored = spark.createDataFrame([], "image_hash string")
-        dedup_ingest(batch, stored, order).write.mode("append").parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        KnownHashes(batch.sparkSession, target, digits).add(batch, commit_name(checkpoint, batch_id), order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

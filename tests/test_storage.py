@@ -11,6 +11,7 @@ from strokelake.operators import ingest, lifecycle, raster
 from strokelake.session import scratch_path
 from strokelake.sources import files, sinks
 from strokelake.streaming import jobs
+from strokelake.streaming.known_hashes import KnownHashes
 
 
 def png(pixels):
@@ -90,11 +91,53 @@ def test_ingest_stream_run_twice_adds_nothing(spark, tmp_path):
     schema = spark.read.parquet(source).schema
     target = str(tmp_path / "out")
     for run in ("one", "two"):
-        stream = jobs.ingest_stream(jobs.file_stream(spark, source, schema), "at", "1 day", "text", "text")
+        stream = jobs.ingest_stream(jobs.file_stream(spark, source, schema), "text", "text")
         jobs.start_ingest(stream, target, str(tmp_path / run), ("at", "id"), {"availableNow": True}).awaitTermination()
-    got = spark.read.parquet(target)
+    got = KnownHashes(spark, target).rows()
     assert got.count() == got.select("image_hash").distinct().count() == 7
 
 
+def hashed(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "id long").withColumn("image_hash", F.sha2((F.col("id") % 100_000).cast("string"), 256))
+
+
+def test_lookups_follow_the_batch(spark, tmp_path):
+    store = KnownHashes(spark, str(tmp_path / "store"))
+    store.add(hashed(spark, range(3000)), "one", ["id"])
+    store.add(hashed(spark, range(2900, 4000)), "two", ["id"])
+    assert store.rows().count() == 4000
+
+    def opened(ids):
+        tagged = store.tagged(hashed(spark, ids))
+        maybe = store.maybe_known(tagged)
+        return len(store._read("filters", "block long, bits long", [r[0] for r in tagged.select("prefix").distinct().collect()]).inputFiles()), store.stored_hashes(maybe).inputFiles(), maybe.count()
+
+    filters, hashes, maybe = opened([7])
+    assert filters <= 2 and len(hashes) <= 2 and maybe == 1
+    filters, hashes, maybe = opened(range(50_000, 50_040))  # new content: the filters rule nearly all of it out
+    assert filters <= 80 and maybe <= 4 and len(hashes) <= 8
+    assert len(opened(range(3000))[1]) > 200
+    assert {r.id for r in store.fresh(store.tagged(hashed(spark, [5, 3950, 4000, 104_000]))).collect()} == {4000, 104_000}
+
+
+def test_commits_repeat_and_compact(spark, tmp_path, monkeypatch):
+    store = KnownHashes(spark, str(tmp_path / "store"), digits=1, blocks=16)
+    store.add(hashed(spark, [1, 2, 3, 100_001]), "a", ["id"])
+    store.add(hashed(spark, [1, 2, 3, 100_001]), "a", ["id"])  # the same batch again
+    with monkeypatch.context() as m:
+        m.setattr(KnownHashes, "_mark", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.add(hashed(spark, [3, 4]), "b", ["id"])
+    assert sorted(r.id for r in store.rows().collect()) == [1, 2, 3]
+    store.add(hashed(spark, [4, 5]), "c", ["id"])
+    assert store.compact() == "base-000000001" and store.compact() is None
+    store.add(hashed(spark, [5, 6]), "d", ["id"])
+    assert store.compact() == "base-000000002"
+    store.add(hashed(spark, [1, 4, 6, 7]).unionByName(spark.createDataFrame([(9, None)], "id long, image_hash string")), "e", ["id"])
+    assert sorted(r.id for r in store.rows().collect()) == [1, 2, 3, 4, 5, 6, 7]
+    with pytest.raises(Exception, match="not a hash"):
+        store.add(spark.createDataFrame([(1, "xyz")], "id long, image_hash string"), "f", ["id"])
+
+
 def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
