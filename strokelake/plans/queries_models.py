@@ -8,7 +8,7 @@ from strokelake.functions import values as V
 from strokelake.operators import catalog, match, metrics, ml, profile, raster, scaler, segments
 from strokelake.plans import pipelines
 from strokelake.plans.fixtures import TEXTS
-from strokelake.plans.queries_segments import GREEDY, SUMMARY
+from strokelake.plans.queries_segments import OPTIMAL, SUMMARY
 from strokelake.plans.registry import query, r, rounded
 from strokelake.session import scratch_path
 from strokelake.streaming import jobs
@@ -291,14 +291,14 @@ def _(i):
     return _collect(i, jobs.expire_sessions(feed, "user_id", "ts", "6 hours", "1 hour"), "append").select("user_id", "events")
 
 
-@query("stm_05_evaluate_stream", "segments ref_segments", SUMMARY, ctes=GREEDY, recursive=True)
+@query("stm_05_evaluate_stream", "segments ref_segments", SUMMARY, ctes=OPTIMAL, recursive=True)
 def _(i):
     ref = i.ref_segments.select(F.lit(1).alias("reference_id"), "*")
     size = match.template_size(ref)
 
     def evaluate(batch):
         seg = batch.sparkSession.sql(TEXTS["segments"], lineitem=batch)
-        return match.match_summary(pipelines.match_drawings(seg, ref, optimal=False), seg, size)
+        return match.match_summary(pipelines.match_drawings(seg, ref), seg, size)
 
     target, checkpoint = scratch_path(i.spark, "evaluated"), scratch_path(i.spark, "evaluate-state")
     jobs.evaluate_stream(_source(i, "lineitem"), "l_orderkey", evaluate, target, checkpoint, NOW).awaitTermination()

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from strokelake.functions import labels as L
 from strokelake.functions.values import content_hash
 from strokelake.operators.profile import count_rows
+from strokelake.session import cut
 from strokelake.streaming.known_hashes import KnownHashes, commit_name
 
 
@@ -78,6 +81,52 @@ def expire_sessions(source: DataFrame, session: str, at: str, idle: str = "24 ho
     )
 
 
+#: Settings of a stream with list state: its store, and no batches without data, since state that expires by the clock
+#: would ask for them for ever; expired rows go when the next data come.
+LIST_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def whole_drawings(source: DataFrame, key: str, expiry: str = "PT24H") -> DataFrame:
+    """All rows so far of every drawing that a batch touches, from keyed state.
+
+    The state of a drawing is the list of its rows, each kept for ``expiry`` after its arrival (an ISO duration). A batch
+    reads and writes the state of its own drawings only; segments that come later bring the whole drawing again.
+    """
+    columns = [f for f in source.schema.fields if f.name != key]
+    inner = StructType(columns)
+    kept_ms = _milliseconds(expiry)
+
+    class Rows(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.rows = handle.getListState("rows", inner, ttlDurationMs=kept_ms)
+
+        def handleInputRows(self, group, batches, timers):
+            names = [f.name for f in columns]
+            new = [tuple(r) for frame in batches for r in frame[names].astype(object).itertuples(index=False, name=None)]
+            old = list(self.rows.get())
+            self.rows.appendList(new)
+            for at in range(0, len(old) + len(new), 10_000):
+                part = (old + new)[at : at + 10_000]
+                frame = pd.DataFrame(part, columns=names)
+                frame.insert(0, key, group[0])
+                yield frame
+
+        def close(self) -> None:
+            pass
+
+    schema = StructType([source.schema[key], *columns])
+    return source.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Rows(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
+    )
+
+
+def _milliseconds(duration: str) -> int:
+    return int(pd.Timedelta(duration).total_seconds() * 1000)
+
+
 def evaluate_stream(
     source: DataFrame,
     key: str,
@@ -85,33 +134,28 @@ def evaluate_stream(
     target: str,
     checkpoint: str,
     trigger: dict,
-    buckets: int = 64,
+    expiry: str = "PT24H",
 ) -> StreamingQuery:
-    """Evaluate every drawing a batch touches, with the rows of earlier batches.
+    """Evaluate every drawing a batch touches, with its rows of earlier batches.
 
-    Rows are kept under ``target/rows``, partitioned by a hash of ``key`` and by batch; a batch
-    reads only the partitions of its own keys. Results go to ``target/results``, one directory
-    per batch. A batch that runs again replaces its own rows and results.
+    Results go to ``target/results``, one directory per batch; a batch that runs again replaces its own.
     """
     root = target.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-        tagged = batch.withColumns({"bucket": bucket, "batch": F.lit(batch_id).cast("long")})
-        writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("bucket", "batch").parquet(f"{root}/rows")
-        kept = spark.read.schema(tagged.schema).parquet(f"{root}/rows").where(F.col("batch") <= batch_id)
-        # at most ``buckets`` numbers
-        touched = [r["bucket"] for r in kept.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]
-        kept = kept.where(F.col("bucket").isin(touched))
-        mine = kept.where(F.col("batch") == batch_id).select(key).distinct()
-        whole = kept.join(mine, key, "left_semi").select(*batch.columns)
+        whole = cut(batch)  # the stateful step runs once per batch
         evaluate(whole).write.mode("overwrite").parquet(f"{root}/results/batch={batch_id}")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    stream = whole_drawings(source, key, expiry).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger)
+    conf = source.sparkSession.conf
+    before = {name: conf.get(name) for name in LIST_STATE}
+    for name, value in LIST_STATE.items():  # a stream takes its settings when it starts; other streams keep theirs
+        conf.set(name, value)
+    try:
+        return stream.start()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def latest_results(spark: SparkSession, target: str, key: str) -> DataFrame:

@@ -94,13 +94,17 @@ def test_drawing_over_two_batches(spark, tmp_path):
         spark.createDataFrame(part, "drawing_id int, line_id int").coalesce(1).write.mode("append").parquet(source)
     stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
 
+    seen = []
+
     def evaluate(rows):
+        seen.append(sorted((r.drawing_id, r.line_id) for r in rows.collect()))
         return rows.groupBy("drawing_id").agg(F.count("*").alias("lines"))
 
     for _ in range(2):  # the second start finds nothing new
         jobs.evaluate_stream(stream, "drawing_id", evaluate, target, str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
     got = {r["drawing_id"]: r["lines"] for r in jobs.latest_results(spark, target, "drawing_id").collect()}
     assert got == {1: 2, 2: 1, 3: 1}
+    assert sorted(seen) == [[(1, 10), (1, 11), (3, 30)], [(1, 10), (2, 20)]]  # drawing 2 is not read again
 
 
 def test_first_share_of_a_hot_stratum(spark):
