@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str)
     return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *[F.col(c) for c in more])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
@@ -32,10 +41,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]]) -> DataFrame:
+def map_batches(
+    df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], encodes: bool = False
+) -> DataFrame:
     """mapInArrow over column lists; ``make`` is called once per task and returns the batch function.
 
-    Batches are cut by text size as well as by rows, so a batch of very long texts stays small in Python.
+    Batches are cut by text size as well as by rows, so a batch of very long texts stays small in Python. Python workers are
+    reused: a task starts without the encoders of earlier stages unless it ``encodes`` itself, and gives freed memory back.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,6 +56,10 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
     out = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            from strokelake.llm.tokens import release_encoders
+
+            release_encoders()
         step = make()
         for batch in batches:
             for part in slices(batch):
@@ -51,11 +67,20 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
                 arrays = [pa.array(got[f.name], type=f.type) for f in out]
                 if arrays and len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
-        pa.default_memory_pool().release_unused()  # workers are reused; the next task starts from little memory
+        del step
+        release_memory()
 
     return df.mapInArrow(run, struct)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Arrow's pool, then the C library's (where it is glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes of text each; a longer row stands alone."""
     rows = batch.num_rows

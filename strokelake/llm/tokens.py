@@ -61,6 +61,7 @@ class Encoder:
         self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, i in vocab.items():
             self.edge[i] = mark(token)
+        self.limit = STORE_LIMIT
         self.store: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -73,7 +74,7 @@ class Encoder:
             return self.raw(texts)
         cut = self._cut_words if self.kind == "words" else self._cut_spaced
         lists = [cut(t) for t in texts]
-        if len(self.store) > STORE_LIMIT:
+        if len(self.store) > self.limit:
             self.old, self.store = self.store, {}
         store, old = self.store, self.old
         new = {w for words in lists for w in words if w not in store}
@@ -157,7 +158,14 @@ def _latin(text: str) -> bool:
         return False
 
 
-def encode_texts(texts: list[str], path: str, end_id: int | None, special_as_text: bool = False) -> list[bytes]:
-    """Ids of each text as bytes, with the end id appended."""
+def encode_texts(texts: list[str], path: str, end_id: int | None, special_as_text: bool = False, stored: int = STORE_LIMIT) -> list[bytes]:
+    """Ids of each text as bytes, with the end id appended. ``stored`` bounds the words kept per generation (about 250 bytes each)."""
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-    return [ids + tail for ids in encoder(path, special_as_text).encode(texts)]
+    own = encoder(path, special_as_text)
+    own.limit = stored
+    return [ids + tail for ids in own.encode(texts)]
+
+
+def release_encoders() -> None:
+    """Forget the encoders of this worker process; tasks that do not encode call it, since workers are reused."""
+    _ENCODERS.clear()
