@@ -23,23 +23,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strokelake.llm.common import slices, texts
-from strokelake.llm.tokens import encode_texts
+from strokelake.llm.tokens import STORE_LIMIT, encode_texts
 
 MAGIC = b"SLG1"
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, payload binary"
 
 
-def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int, least: int, most_rules: int):
-    """Re-Pair in rounds: each round replaces every pair whose count is within a factor of the best.
+def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, least: int, most_rules: int):
+    """Re-Pair in rounds, until no pair occurs ``least`` times or the rules are used up.
+
+    Each round replaces every pair whose count is within a factor of 16 of the best (the best ones, where rules run short).
 
     ``last`` marks the last symbol of each document; no pair crosses it. Where chosen pairs overlap, the more
     frequent one wins, the left one in a run of one pair. Returns symbols, marks and rules.
     """
     rules: list[np.ndarray] = []
     new = first_new
-    for _ in range(rounds):
-        if len(ids) < 2:
-            break
+    while len(ids) > 1 and new - first_new < most_rules:
         key = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
         inside = ~last[:-1]
         ordered = np.sort(key[inside])
@@ -48,12 +48,13 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[edge, len(ordered)])
         floor = max(least, int(count.max()) // 16)
-        keep = count >= floor
-        if not keep.any():
+        keep = np.flatnonzero(count >= floor)
+        if not len(keep):
             break
+        left_over = most_rules - (new - first_new)
+        if len(keep) > left_over:
+            keep = np.sort(keep[np.argsort(-count[keep], kind="stable")[:left_over]])
         pairs, count = ordered[edge[keep]], count[keep]
-        if len(pairs) > most_rules - (new - first_new):
-            break
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         size = int(ids.max()) + 1
         begins, ends = np.zeros(size, bool), np.zeros(size, bool)
@@ -108,14 +109,14 @@ def chosen_places(spot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return take
 
 
-def encode_shard(documents: list[bytes], rounds: int = 2, least: int = 8, most_rules: int = 15_000) -> bytes:
+def encode_shard(documents: list[bytes], least: int = 8, most_rules: int = 15_000) -> bytes:
     """Payload of one shard from the ids of its documents."""
     sizes = np.array([len(d) // 4 for d in documents], np.int64)
     ids = np.frombuffer(b"".join(documents), "<u4").astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     first_new = int(ids.max()) + 1 if len(ids) else 1
-    symbols, marks, rules = replace_pairs(ids, last, first_new, rounds, least, most_rules)
+    symbols, marks, rules = replace_pairs(ids, last, first_new, least, most_rules)
     lengths = expansion_lengths(rules, first_new)
     ends = np.flatnonzero(marks) + 1
     starts = np.zeros(len(documents) + 1, np.int64)
@@ -179,7 +180,7 @@ class Shard:
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 18, rounds: int = 2) -> None:
+def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 18, stored_words: int = STORE_LIMIT) -> None:
     """All documents in ascending ``doc_id`` order as grammar shards of about ``shard_ids`` ids."""
     spark = docs.sparkSession
     source = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
@@ -201,7 +202,7 @@ def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, s
                     pa.array([shard], pa.int32()),
                     pa.array([size], pa.int64()),
                     pa.array([keys], pa.list_(pa.int64())),
-                    pa.array([encode_shard(held, rounds)], pa.binary()),
+                    pa.array([encode_shard(held)], pa.binary()),
                 ],
                 names=["part", "shard", "n_tokens", "doc_ids", "payload"],
             )
@@ -210,7 +211,7 @@ def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, s
 
         for batch in batches:
             for piece in slices(batch):
-                for key, ids in zip(piece.column(0).to_pylist(), encode_texts(piece.column(1).to_pylist(), tokenizer, end_id)):
+                for key, ids in zip(piece.column(0).to_pylist(), encode_texts(piece.column(1).to_pylist(), tokenizer, end_id, stored=stored_words)):
                     held.append(ids)
                     keys.append(key)
                     size += len(ids) // 4
