@@ -12,7 +12,8 @@ fingerprinted. All sizes of windows at all other places are.
 Items are grouped by size and held by every task: their total is checked against ``item_limit`` words, and a larger benchmark is
 handled in slices of that size, one pass over the documents each.
 
-Defined cases: null text counts as empty; items with fewer than five words are one shingle, items without words match
+Defined cases: null text counts as empty; items with fewer than five words are one shingle of their own
+length, looked for at every word of every document; items without words match
 nothing; repeated items and rows are handled one by one; documents shorter than an item have no window of its size;
 empty tables give an empty result; other columns are not read (:func:`mark_leaks`) or kept (:func:`drop_leaks`).
 """
@@ -26,7 +27,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strokelake.llm.common import map_batches, texts, written
+from strokelake.llm.common import free_name, map_batches, texts, written
 
 WORD = re.compile(r"\w+")
 WIDTH = 5
@@ -44,18 +45,21 @@ class WordHashes(dict):
         return value
 
 
-def shingles(text: str, hashes: WordHashes) -> tuple[int, np.ndarray]:
-    """Number of words, and a hash for each run of five words (fewer words: one for all)."""
+def word_hashes(text: str, hashes: WordHashes) -> np.ndarray:
     words = WORD.findall(text.lower())
-    if not words:
-        return 0, np.zeros(0, np.uint64)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - WIDTH + 1)
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(each: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A hash for each run of ``width`` words (fewer words: one for all; none: none)."""
+    if not len(each):
+        return each
+    n = max(1, len(each) - width + 1)
     mixed = np.zeros(n, np.uint64)
-    for i in range(min(WIDTH, len(words))):
+    for i in range(min(width, len(each))):
         mixed = (mixed ^ each[i : i + n]) * MULTIPLIER
         mixed ^= mixed >> np.uint64(29)
-    return len(words), mixed
+    return mixed
 
 
 def simhash(hashes: np.ndarray) -> np.uint64:
@@ -113,9 +117,11 @@ class ItemSet:
         hashes = WordHashes()
         sizes: dict[int, list] = defaultdict(list)
         for key, text in items:
-            n, own = shingles(text or "", hashes)
-            if n:
-                sizes[n].append((key, own))
+            each = word_hashes(text or "", hashes)
+            if len(each):
+                sizes[len(each)].append((key, shingles(each)))
+        #: Items below ``WIDTH`` words are one shingle of their own length: (shingles, their items) by length.
+        self.short = {n: _by_shingle(sizes.pop(n)) for n in sorted(sizes) if n < WIDTH}
         self.sizes = {}
         for n, group in sorted(sizes.items()):
             prints = np.array([simhash(own) for _, own in group], np.uint64)
@@ -123,18 +129,25 @@ class ItemSet:
             self.sizes[n] = [g[0] for g in group], [Counter(g[1].tolist()) for g in group], known, BlockIndex(prints, radius)
         self.known = np.unique(np.concatenate([s[2] for s in self.sizes.values()])) if self.sizes else np.zeros(0, np.uint64)
 
-    def search(self, n_words: int, own: np.ndarray) -> list[tuple]:
+    def search(self, each: np.ndarray) -> list[tuple]:
         """Best window of each item that reaches the threshold: (item, first word, words, distance, similarity)."""
         out = []
-        short = [n for n in self.sizes if n < WIDTH]
+        n_words = len(each)
+        for n, (known, keys) in self.short.items():
+            if n <= n_words:
+                windows = shingles(each, n)
+                hit = np.flatnonzero(_among(windows, known))
+                places, first = np.unique(np.searchsorted(known, windows[hit]), return_index=True)
+                out += [(key, int(hit[f]), n, 0, 1.0) for p, f in zip(places.tolist(), first.tolist()) for key in keys[p]]
+        own = shingles(each)
         anchors = np.flatnonzero(_among(own, self.known)) if len(self.known) and n_words >= WIDTH else np.zeros(0, np.int64)
-        if not len(anchors) and not (short and n_words < WIDTH):
+        if not len(anchors):
             return out
         for n, (keys, weights, known, index) in self.sizes.items():
-            if n > n_words or (n < WIDTH) != (n_words < WIDTH):
+            if n > n_words:
                 continue
-            size = max(1, n - WIDTH + 1)
-            at = anchors[_among(own[anchors], known)] if n >= WIDTH else np.zeros(1, np.int64)
+            size = n - WIDTH + 1
+            at = anchors[_among(own[anchors], known)]
             if not len(at):
                 continue
             cover = np.zeros(len(own) + 1, np.int64)  # windows that hold a shingle of an item
@@ -156,6 +169,14 @@ class ItemSet:
         return out
 
 
+def _by_shingle(group: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, list[list[int]]]:
+    found: dict[int, list[int]] = defaultdict(list)
+    for key, own in group:
+        found[int(own[0])].append(key)
+    known = np.array(sorted(found), np.uint64)
+    return known, [found[k] for k in known.tolist()]
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, values)
     at[at == len(known)] = 0
@@ -193,7 +214,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
             def step(cols):
                 out = {n.split()[0]: [] for n in FOUND.split(", ")}
                 for key, text in zip(cols["doc_id"], cols["text"]):
-                    for row in index.search(*shingles(text, hashes)):
+                    for row in index.search(word_hashes(text, hashes)):
                         for name, value in zip(out, (key, *row)):
                             out[name].append(value)
                 return out
@@ -207,5 +228,6 @@ def mark_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Documents without any benchmark item; all columns stay."""
-    leaks = written(mark_leaks(docs, items, **options), "leaks").select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak_id")), "left_anti")
+    own = free_name(docs, "_leak_id")
+    leaks = written(mark_leaks(docs, items, **options), "leaks").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")
