@@ -3,8 +3,8 @@
 1. Texts become pieces of at most ``capacity`` tokens (only longer documents are cut).
 2. The histogram of piece lengths, at most ``capacity`` numbers, goes to the driver. Patterns are all pairs
    and triples of present lengths that fill a sequence exactly; non-negative least squares fits how often
-   each pattern repeats; the counts are rounded down and what is left over is packed best-fit, longest first,
-   run by run over the residual histogram.
+   each pattern repeats; the counts are rounded by largest remainder and what is left over is packed best-fit, longest
+   first, run by run over the residual histogram. Several shares of the fitted counts are tried; ``Plan`` says which won.
 3. Every piece finds its slot from its length and its rank among the pieces of that length, so pieces of one
    length (a third of all rows, say) are interchangeable and no task ever holds them together.
 
@@ -27,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strokelake.llm.common import map_batches, texts, written
-from strokelake.llm.tokens import encode_texts
+from strokelake.llm.tokens import STORE_LIMIT, encode_texts
 
+#: Parts of the fitted counts that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False, stored_words: int = STORE_LIMIT) -> DataFrame:
     """Pieces of each document's ids; ``keep_ids`` adds the ids themselves."""
 
     def make():
         def step(cols):
             out = defaultdict(list)
-            for key, data in zip(cols["doc_id"], encode_texts(cols["text"], tokenizer, end_id)):
+            for key, data in zip(cols["doc_id"], encode_texts(cols["text"], tokenizer, end_id, stored=stored_words)):
                 size = len(data) // 4
                 for piece, start in enumerate(range(0, size, capacity)):
                     ids = data[4 * start : 4 * (start + capacity)]
@@ -54,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         return step
 
     source = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    return map_batches(source, PIECES + (", ids array<int>" if keep_ids else ""), make)
+    return map_batches(source, PIECES + (", ids array<int>" if keep_ids else ""), make, encodes=True)
 
 
 # ---- the plan: driver-side arithmetic on at most ``capacity`` counts ----
@@ -74,15 +76,6 @@ def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def thinned(patterns: np.ndarray, pieces: int) -> np.ndarray:
-    """All pairs and evenly spaced triples, about one pattern for four pieces: with more patterns than that the
-    fitted counts lie below one and rounding would leave nothing of them."""
-    triples = patterns[:, 2] > 0
-    room = max(1, pieces // 4)
-    every = max(1, -(-int(triples.sum()) // room))
-    return np.concatenate([patterns[~triples], patterns[triples][::every]])
-
-
 def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
     """x >= 0 that minimises |W (A x - h)| (accelerated projected gradient; A is applied by counting).
 
@@ -118,7 +111,10 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -
 
 
 def rounded_counts(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Whole counts that use no length more often than it occurs."""
+    """Whole counts that use no length more often than it occurs: whole parts, then one more by falling remainder.
+
+    With more patterns than pieces most fitted counts lie below one; the remainders then say which patterns are used.
+    """
     n = np.floor(x + 1e-9).astype(np.int64)
     left = histogram.astype(np.int64).copy()
     for u in range(3):
@@ -134,6 +130,18 @@ def rounded_counts(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) -
             for entry in patterns[p]:
                 if entry:
                     left[entry] += back
+    rest = x - n
+    order = np.argsort(-rest, kind="stable")
+    room = left.tolist()
+    for p in order[rest[order] > 1e-6].tolist():
+        a, b, c = patterns[p].tolist()
+        if room[b] < 1 + (a == b) or room[a] < 1 or (c and room[c] < 1 + (b == c) + (a == c)):
+            continue
+        n[p] += 1
+        room[a] -= 1
+        room[b] -= 1
+        if c:
+            room[c] -= 1
     return n
 
 
@@ -185,6 +193,8 @@ class Plan:
     base: np.ndarray
     offset: np.ndarray
     sequences: int
+    by_pattern: int  # sequences that follow a fitted pattern
+    share: float  # of the fitted counts that gave the fewest sequences
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.key, (length << 44) | rank, "right") - 1
@@ -199,10 +209,10 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
         h[length] = n
     inner = h.copy()
     inner[capacity] = 0
-    patterns = thinned(exact_patterns(np.flatnonzero(inner), capacity), int(inner.sum()))
+    patterns = exact_patterns(np.flatnonzero(inner), capacity)
     fitted = fit_counts(patterns, inner.astype(float))
     best = None
-    for share in (1.0, 0.75, 0.5, 0.25, 0.0):  # of the fitted counts; what is left over is packed best-fit
+    for share in SHARES:  # of the fitted counts; what is left over is packed best-fit
         n = rounded_counts(patterns, fitted * share, inner)
         left = h.copy()
         for u in range(3):
@@ -211,8 +221,9 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
         groups = best_fit(left, capacity)
         total = int(n.sum()) + sum(count for count, _ in groups)
         if best is None or total < best[0]:
-            best = total, n, groups
-    _, n, groups = best
+            best = total, n, groups, share
+    _, n, groups, share = best
+    by_pattern = int(n.sum())
     for p in np.flatnonzero(n):
         runs: list[tuple[int, int]] = []
         for entry in patterns[p].tolist():
@@ -230,7 +241,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             at += length * copies
         base += count
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    return Plan((table[:, 0] << 44) | table[:, 1], table[:, 1], table[:, 2], table[:, 3], table[:, 4], base)
+    return Plan((table[:, 0] << 44) | table[:, 1], table[:, 1], table[:, 2], table[:, 3], table[:, 4], base, by_pattern, share)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
@@ -265,6 +276,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, length: str = "length") -> Dat
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, stored_words: int = STORE_LIMIT
+) -> DataFrame:
     """Pieces of all documents with the place of each in its sequence."""
-    return pack_pieces(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, capacity, end_id, keep_ids, stored_words), capacity)
