@@ -63,7 +63,11 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12, sigmas: float
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``, and ``n_lines``, ``n_removed`` (lines with a word)."""
+    """``docs`` with boilerplate lines removed from ``text``, and ``n_lines``, ``n_removed`` (lines with a word).
+
+    Columns of these two names give way to the counts; names that begin with ``_line_`` are reserved and leave the table too.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed") or c.lower().startswith("_line_")])
     lines = written(line_rows(docs, site), "lines")
     spread = written(boilerplate(lines, min_sites), "spread")
     gone = (

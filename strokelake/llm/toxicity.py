@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strokelake.llm.common import map_batches, texts, written
+from strokelake.llm.common import free_name, map_batches, texts, written
 
 LABELLED = 12_000
 FITTED = 20_000
@@ -254,5 +254,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents not predicted toxic; all columns stay. Of repeated ids all rows go if one is toxic."""
-    bad = written(score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct(), "toxic")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_toxic_id")), "left_anti")
+    own = free_name(docs, "_toxic_id")
+    bad = written(score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias(own)).distinct(), "toxic")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")

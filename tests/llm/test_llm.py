@@ -90,7 +90,7 @@ def test_packing_plan_uses_patterns():
     h = np.zeros(257)
     h[values] = counts
     h[256] = 0
-    patterns = packing.thinned(packing.exact_patterns(np.flatnonzero(h), 256), int(h.sum()))
+    patterns = packing.exact_patterns(np.flatnonzero(h), 256)
     n = packing.rounded_counts(patterns, packing.fit_counts(patterns, h), h)
     used = sum(np.bincount(patterns[:, u], n, 257) for u in range(3))[1:]
     assert (used <= h[1:]).all() and n.sum() > 0.3 * plan.sequences
@@ -333,7 +333,7 @@ def test_grammar(spark, docs, empty):
 
 def test_grammar_rules_shrink_and_decode_alone():
     docs = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3, 4] * 40 + [0], [7] * 33, [], [9], [1, 2, 3, 4, 1, 2, 0])]
-    payload = grammar.encode_shard(docs, rounds=4, least=2)
+    payload = grammar.encode_shard(docs, least=2)
     shard = grammar.Shard(payload)
     assert shard.documents() == docs and len(shard.symbols) < 60 and len(shard.rules) > 2
     assert [shard.document(i).astype("<u4").tobytes() for i in range(5)] == docs
