@@ -37,34 +37,14 @@ def draw_params(df: DataFrame, seed: int, cfg: Augmentation = AUGMENTATION) -> D
     )
 
 
-def is_safe(
-    rotation: Column, tx: Column, ty: Column, scale: Column, canvas: Canvas = CANVAS, margin: int = AUGMENTATION.safety_margin
-) -> Column:
-    """Margins around the ink box (``x_min .. y_max``) survive the worst case of the transform."""
-    span = F.greatest(F.col("y_max") - F.col("y_min") + 1, F.col("x_max") - F.col("x_min") + 1)
-    turn_loss = F.floor(span * F.sin(F.radians(F.abs(rotation))) * 0.5)
-    scale_loss = F.when(scale > 1, F.floor(span * (scale - 1.0) * 0.5)).otherwise(0)
-    need = margin + turn_loss + scale_loss
-    top, left = F.col("y_min"), F.col("x_min")
-    bottom, right = canvas.height - F.col("y_max") - 1, canvas.width - F.col("x_max") - 1
-    fits = (
-        (top >= need + F.when(ty < 0, F.abs(ty)).otherwise(0))
-        & (bottom >= need + F.when(ty > 0, F.abs(ty)).otherwise(0))
-        & (left >= need + F.when(tx < 0, F.abs(tx)).otherwise(0))
-        & (right >= need + F.when(tx > 0, F.abs(tx)).otherwise(0))
-    )
-    # a drawing without ink cannot be clipped
-    return F.coalesce(fits, F.lit(True))
-
-
 def _halved(value: Column) -> Column:
     return (value * 0.5).cast("int")
 
 
 def with_safety(df: DataFrame, out: str, canvas: Canvas = CANVAS, margin: int = AUGMENTATION.safety_margin) -> DataFrame:
-    """:func:`is_safe` of the row's parameters, with its shared parts as columns of their own.
+    """Whether the margins around the ink box (``x_min .. y_max``) survive the worst case of the row's parameters.
 
-    Written as one expression the margin would be spelled out four times, and the generated
+    A drawing without ink cannot be clipped. The shared parts are columns of their own: written as one expression the margin would be spelled out four times, and the generated
     method grows past what the JVM compiles.
     """
     r, tx, ty, s = (F.col(c) for c in PARAMS)

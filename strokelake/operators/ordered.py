@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strokelake.operators.keyed import join_small
+from strokelake.session import cut
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -195,3 +196,24 @@ def number_rows(df: DataFrame, order: Column, tie: str, modulus: int, out: str =
     return rows.withColumn("_in", inner).join(offsets, "_bucket").select(
         *df.columns, (F.col("_off") + F.col("_in") - 1).alias(out)
     )
+
+
+def numbered(rows: DataFrame, block: Sequence[Column], order: Sequence[str] = ("_part",), out: str = "line_no") -> DataFrame:
+    """Rows numbered from 1 in the order of their blocks, and as read inside a block.
+
+    ``block`` are columns named as in ``order`` that tell the blocks of the input apart (a task's number after a sort, a
+    file and its split while reading). Counts per block, a prefix sum over the blocks (one row each) and the place inside
+    the block give the number; rows are neither sorted nor brought together.
+    """
+    order = list(order)
+    read = cut(rows.select("*", *block, F.monotonically_increasing_id().alias("_row")))
+    blocks = read.groupBy(*order).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(*order, (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    joined = read.join(F.broadcast(blocks), order)  # one row per block of the input
+    return joined.select((F.col("_row") + F.col("_shift")).alias(out), *rows.columns)
+
+
+def numbered_sort(rows: DataFrame, *by: Column | str, out: str = "place") -> DataFrame:
+    """Rows with their places in a total order."""
+    return numbered(rows.orderBy(*by), [F.spark_partition_id().alias("_part")], out=out)

@@ -68,9 +68,9 @@ SELECT l_orderkey AS id, l_linenumber AS sub_id, CASE WHEN l_partkey % 5 = 0 THE
   l_quantity - 1 AS target, l_quantity * (0.95e0 + l_discount) AS prediction FROM {lineitem}""",
     "predictions_cls": (
         """
-SELECT vec_id AS id, label AS target, CAST(array_position(slice(embedding,1,10), array_max(slice(embedding,1,10))) - 1 AS INT) AS prediction FROM {embeddings}""",
+SELECT vec_id AS id, label AS target, CAST(array_position(embedding, array_max(embedding)) - 1 AS INT) AS prediction FROM {embeddings}""",
         """
-SELECT vec_id AS id, label AS target, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INT) AS prediction FROM {embeddings}""",
+SELECT vec_id AS id, label AS target, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS prediction FROM {embeddings}""",
     ),
     "history": """
 SELECT event_type AS model, CAST(extract(DAY FROM ts) AS INT) AS epoch, round(avg(value), 6) AS train_loss,
@@ -84,7 +84,7 @@ SELECT user_id AS drawing_id, event_type AS stroke_id,
   CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INT) AS seq,
   CAST((event_id * 13) % 568 AS INT) AS x, CAST((event_id * 7) % 274 AS INT) AS y, ts AS t FROM {events}""",
     "pixels": """
-SELECT l_suppkey % 20 AS drawing_id, CAST((l_partkey*37 + l_linenumber) % 568 AS INT) AS x, CAST((l_orderkey*53) % 274 AS INT) AS y,
+SELECT CAST(floor(l_orderkey / 800e0) AS BIGINT) AS drawing_id, CAST((l_partkey*37 + l_linenumber) % 568 AS INT) AS x, CAST((l_orderkey*53) % 274 AS INT) AS y,
   CAST(max((l_orderkey*17) % 256) AS INT) AS r, CAST(max((l_partkey*29) % 256) AS INT) AS g, CAST(max((l_suppkey*41) % 256) AS INT) AS b
 FROM {lineitem} GROUP BY 1, 2, 3""",
     "ink": """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+import functools
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strokelake.config import SCORE_RANGES
 from strokelake.functions import labels as L, values as V
@@ -176,11 +178,11 @@ query("agg_18_regression_metrics", "predictions_reg", f"SELECT {REG} FROM p", ct
 query(
     "agg_19_confusion_matrix",
     "predictions_cls",
-    """SELECT t AS target, g AS prediction, count(p.id) AS n FROM (SELECT unnest(range(10)) AS t) CROSS JOIN (SELECT unnest(range(10)) AS g)
+    """SELECT t AS target, g AS prediction, count(p.id) AS n FROM (SELECT unnest(range(64)) AS t) CROSS JOIN (SELECT unnest(range(64)) AS g)
 LEFT JOIN predictions_cls p ON p.target = t AND p.prediction = g GROUP BY 1, 2""",
-)(lambda i: rounded(metrics.confusion_matrix(i.predictions_cls, 10)))
+)(lambda i: rounded(metrics.confusion_matrix(i.predictions_cls, 64)))
 CLS = """m AS (SELECT c, (SELECT count(*) FROM predictions_cls WHERE target = c) AS s, (SELECT count(*) FROM predictions_cls WHERE prediction = c) AS g,
- (SELECT count(*) FROM predictions_cls WHERE prediction = c AND target = c) AS tp FROM (SELECT unnest(range(10)) AS c)),
+ (SELECT count(*) FROM predictions_cls WHERE prediction = c AND target = c) AS tp FROM (SELECT unnest(range(64)) AS c)),
 f AS (SELECT c, s, tp, CASE WHEN g > 0 THEN tp / g ELSE 0 END AS p, CASE WHEN s > 0 THEN tp / s ELSE 0 END AS r FROM m),
 x AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM f)"""
 query(
@@ -188,14 +190,14 @@ query(
     "predictions_cls",
     "SELECT c AS class_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, s AS support, tp FROM x",
     ctes=CLS,
-)(lambda i: rounded(metrics.class_metrics(i.predictions_cls, 10)))
+)(lambda i: rounded(metrics.class_metrics(i.predictions_cls, 64)))
 query(
     "agg_20_classification_metrics",
     "predictions_cls",
     """SELECT (SELECT round(avg(CASE WHEN target = prediction THEN 1.0::DOUBLE ELSE 0 END), 6) FROM predictions_cls) AS accuracy, (SELECT round(avg(f1), 6) FROM x) AS macro_f1,
  (SELECT count(*) FROM predictions_cls) AS num_samples""",
     ctes=CLS,
-)(lambda i: rounded(metrics.classification_metrics(i.predictions_cls, 10)))
+)(lambda i: rounded(metrics.classification_metrics(i.predictions_cls, 64)))
 query(
     "agg_21_metric_sample",
     "predictions_reg",
@@ -218,13 +220,29 @@ query(
     """SELECT s.patient_id, s.task_type, concat('TotalScore mismatch: expected ', CAST(r.total_score AS VARCHAR), ', got ', CAST(s.total_score AS VARCHAR)) AS error
 FROM ratings_stored s JOIN ratings r USING (patient_id, task_type) WHERE r.total_score <> s.total_score""",
 )(lambda i: quality.validation_errors(quality.validate_scores(i.ratings_stored, i.ratings)))
+READY = {"all": "true", "one": "drawing_id = 3", "none": "drawing_id < 0", "few": "drawing_id IN (3, 4, 10, 11)"}
 query(
     "agg_23_readiness",
     "drawings",
-    """SELECT true AS ready, 'ready' AS status, count(*) AS total, count_if(coalesce(features_data NOT IN ('{}', 'null'), false)) AS labelled, 2::BIGINT AS features, '' AS issues FROM drawings""",
+    """SELECT g, blocking = '' AS ready, CASE WHEN blocking = '' THEN 'ready' ELSE 'not_ready' END AS status, total, labelled, features, blocking AS issues FROM (
+ SELECT g, total, labelled, features, concat_ws('; ', CASE WHEN total < 2 THEN concat('Only ', total, ' images (minimum 2 required)') END, CASE WHEN labelled < 2 THEN concat('Only ', labelled, ' labeled images') END,
+  CASE WHEN features = 0 THEN 'No features defined' END, rare) AS blocking
+ FROM parts)""",
+    ctes=f"""chosen AS ({" UNION ALL ".join(f"SELECT '{g}' AS g, * FROM drawings WHERE {part}" for g, part in READY.items())}),
+names AS (SELECT unnest(['{"', '".join(READY)}']) AS g),
+carried AS (SELECT g, feature, count(*) AS n FROM (SELECT g, unnest(json_keys(features_data)) AS feature FROM chosen WHERE features_data NOT IN ('{{}}', 'null')) GROUP BY 1, 2),
+parts AS (SELECT g, (SELECT count(*) FROM chosen c WHERE c.g = names.g) AS total, (SELECT count(*) FROM chosen c WHERE c.g = names.g AND features_data NOT IN ('{{}}', 'null')) AS labelled,
+ (SELECT count(*) FROM carried c WHERE c.g = names.g) AS features,
+ (SELECT string_agg(concat('Feature ''', feature, ''' only has ', n, ' samples'), '; ' ORDER BY feature) FROM carried c WHERE c.g = names.g AND n < 2) AS rare FROM names)""",
 )(
-    lambda i: profile.training_readiness(i.drawings).select(
-        "ready", "status", "total", "labelled", "features", F.array_join("issues", "; ").alias("issues")
+    lambda i: functools.reduce(
+        DataFrame.unionByName,
+        [
+            profile.training_readiness(i.drawings.where(part)).select(
+                F.lit(g).alias("g"), "ready", "status", "total", "labelled", "features", F.array_join("issues", "; ").alias("issues")
+            )
+            for g, part in READY.items()
+        ],
     )
 )
 query(
@@ -528,10 +546,10 @@ query(
     "mth_04_softmax",
     "",
     """SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS prediction, round(100 / list_sum(list_transform(e, lambda v: exp(v - list_max(e)))), 4) AS confidence
-FROM (SELECT vec_id, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE) * 8) AS e FROM embeddings)""",
+FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS e FROM embeddings)""",
 )(
     lambda i: i.embeddings.select(
-        "vec_id", V.softmax(F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 8)).alias("p")
+        "vec_id", V.softmax(F.transform("embedding", lambda v: v.cast("double") * 8)).alias("p")
     ).select("vec_id", V.top_class(F.col("p")).cast("bigint").alias("prediction"), r(F.array_max("p") * 100, 4).alias("confidence"))
 )
 query(

@@ -8,7 +8,7 @@ from strokelake.functions import values as V
 from strokelake.operators import catalog, match, metrics, ml, profile, raster, scaler, segments
 from strokelake.plans import pipelines
 from strokelake.plans.fixtures import TEXTS
-from strokelake.plans.queries_segments import OPTIMAL, SUMMARY
+from strokelake.plans.queries_segments import ANG, LEN, OPTIMAL, SUMMARY, kind_of
 from strokelake.plans.registry import query, r, rounded
 from strokelake.session import scratch_path
 from strokelake.streaming import jobs
@@ -59,7 +59,34 @@ def _features(i):
     )
 
 
-@query("mdl_01_02_regression", "", None)
+# normal equations of three features by determinants, on centred sums with 0.01 on the diagonal
+SOLVED = f"""kinds AS (SELECT drawing_id, {kind_of(ANG)} AS k, {LEN} AS len FROM segments),
+feats AS (SELECT drawing_id, CAST(count(*) FILTER (k = 'horizontal') AS DOUBLE) AS a, CAST(count(*) FILTER (k = 'vertical') AS DOUBLE) AS b, CAST(count(*) FILTER (k = 'diagonal') AS DOUBLE) AS c,
+ sum(len) AS y, CASE WHEN drawing_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM kinds GROUP BY 1),
+sums AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, var_pop(a) + 0.01 AS aa, var_pop(b) + 0.01 AS bb, var_pop(c) + 0.01 AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc,
+ covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM feats WHERE split = 'train'),
+dets AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS d, ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy) AS da,
+ aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac) AS db, aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac) AS dc FROM sums),
+fit AS (SELECT da / d AS wa, db / d AS wb, dc / d AS wc, my - ma * da / d - mb * db / d - mc * dc / d AS w0 FROM dets)"""
+query(
+    "mdl_01_linear_fit",
+    "segments",
+    "SELECT round(wa, 6) AS horizontal, round(wb, 6) AS vertical, round(wc, 6) AS diagonal, round(w0, 6) AS intercept, (SELECT count(*) FROM feats WHERE split = 'train') AS rows FROM fit",
+    ctes=SOLVED,
+)(
+    lambda i: (lambda m: i.spark.createDataFrame([(*(round(c, 6) for c in m.coefficients), round(m.intercept, 6), m.rows)], "horizontal double, vertical double, diagonal double, intercept double, rows long"))(
+        ml.fit_linear(_features(i).where("split = 'train'"))
+    )
+)
+
+
+@query(
+    "mdl_01_02_regression",
+    "segments",
+    """SELECT split, count(*) AS num_samples, round(avg((p-t)*(p-t)), 3) AS mse, round(sqrt(avg((p-t)*(p-t))), 3) AS rmse, round(avg(abs(p-t)), 3) AS mae,
+ round(1 - sum((p-t)*(p-t)) / (var_pop(t) * count(*)), 3) AS r2, round(100 * avg(CASE WHEN t <> 0 THEN abs((t-p)/t) END), 3) AS mape FROM (SELECT split, y AS t, w0 + wa * a + wb * b + wc * c AS p FROM feats, fit) GROUP BY 1""",
+    ctes=SOLVED,
+)
 def _(i):
     rows = _features(i)
     model = ml.fit_model(rows.where("split = 'train'"), "Total_Score")
@@ -90,11 +117,11 @@ query(
 
 
 def _finished(i):
-    logits = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 8)
+    logits = F.transform("embedding", lambda v: v.cast("double") * 8)
     return catalog.finish_classification(i.embeddings.select(F.col("vec_id").alias("id"), logits.alias("logits")))
 
 
-LOGITS = """z AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE) * 8) AS e FROM embeddings),
+LOGITS = """z AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS e FROM embeddings),
 s AS (SELECT id, e, list_sum(list_transform(e, lambda v: exp(v - list_max(e)))) AS t FROM z)"""
 query(
     "mdl_03_finish_classification",
@@ -105,8 +132,9 @@ query(
 query(
     "mdl_03_class_details",
     "classed",
-    """SELECT id, k AS label, round(exp(e[k + 1] - list_max(e)) / t * 100, 1) AS probability, name AS class_name, CASE k WHEN 0 THEN '[0-15]' WHEN 1 THEN '[15-30]' WHEN 2 THEN '[30-45]' ELSE '[45-60]' END AS range
-FROM (SELECT *, unnest(range(4)) AS k FROM s) JOIN cls ON label = k""",
+    """SELECT id, k AS label, round(exp(e[k + 1] - list_max(e)) / t * 100, 1) AS probability, coalesce(name, concat('Class_', CAST(k AS VARCHAR))) AS class_name,
+ CASE k WHEN 0 THEN '[0-15]' WHEN 1 THEN '[15-30]' WHEN 2 THEN '[30-45]' WHEN 3 THEN '[45-60]' ELSE '' END AS range
+FROM (SELECT *, unnest(range(64)) AS k FROM s) LEFT JOIN cls ON label = k""",
     ctes=f"{LOGITS}, {CLASS_ROWS}",
 )(lambda i: rounded(catalog.class_details(_finished(i), catalog.class_info(i.classed, 4))))
 query(
@@ -127,14 +155,14 @@ query(
 query(
     "mdl_04_evaluate_classification",
     "predictions_cls",
-    """SELECT split, any_value(n) AS num_samples, round(any_value(a), 6) AS accuracy, round(sum(CASE WHEN s + g > 0 THEN 2.0::DOUBLE * tp / (s + g) ELSE 0 END) / 10, 6) AS macro_f1
+    """SELECT split, any_value(n) AS num_samples, round(any_value(a), 6) AS accuracy, round(sum(CASE WHEN s + g > 0 THEN 2.0::DOUBLE * tp / (s + g) ELSE 0 END) / 64, 6) AS macro_f1
 FROM (SELECT split, c, (SELECT count(*) FROM q WHERE q.split = k.split AND target = c) AS s, (SELECT count(*) FROM q WHERE q.split = k.split AND prediction = c) AS g, (SELECT count(*) FROM q WHERE q.split = k.split AND prediction = c AND target = c) AS tp,
- (SELECT count(*) FROM q WHERE q.split = k.split) AS n, (SELECT avg(CAST(target = prediction AS INT)) FROM q WHERE q.split = k.split) AS a FROM (SELECT DISTINCT split FROM q) k CROSS JOIN (SELECT unnest(range(10)) AS c)) GROUP BY 1""",
+ (SELECT count(*) FROM q WHERE q.split = k.split) AS n, (SELECT avg(CAST(target = prediction AS INT)) FROM q WHERE q.split = k.split) AS a FROM (SELECT DISTINCT split FROM q) k CROSS JOIN (SELECT unnest(range(64)) AS c)) GROUP BY 1""",
     ctes="q AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM predictions_cls)",
 )(
     lambda i: rounded(
         metrics.evaluate_model(
-            i.predictions_cls.withColumn("split", F.when(F.col("id") % 4 == 0, "val").otherwise("train")), "classification", 10
+            i.predictions_cls.withColumn("split", F.when(F.col("id") % 4 == 0, "val").otherwise("train")), "classification", 64
         )
     )
 )

@@ -143,7 +143,7 @@ query(
 query(
     "geo_11_read_transform",
     "segments",
-    f"""SELECT drawing_id, {LINE}, round(degrees(atan2(y1, x1)), 4) AS rotation_degrees, round(sqrt(x1*x1+y1*y1), 4) AS scale_x, round(sqrt(x2*x2+y2*y2), 4) AS scale_y,
+    f"""SELECT drawing_id, {LINE}, round(x2 - 1.5::DOUBLE * y1, 4) AS translation_x, round(y2 + 0.25::DOUBLE * x1, 4) AS translation_y, round(degrees(atan2(y1, x1)), 4) AS rotation_degrees, round(sqrt(x1*x1+y1*y1), 4) AS scale_x, round(sqrt(x2*x2+y2*y2), 4) AS scale_y,
  round((sqrt(x1*x1+y1*y1) + sqrt(x2*x2+y2*y2)) / 2, 4) AS scale FROM segments""",
 )(
     lambda i: rounded(
@@ -152,8 +152,9 @@ query(
             "line_id",
             *(
                 c.alias(n)
-                for n, c in G.read_transform(F.col("x1"), F.col("y1"), F.lit(0), F.col("x2"), F.col("y2"), F.lit(0)).items()
-                if not n.startswith("tran")
+                for n, c in G.read_transform(
+                    F.col("x1"), F.col("y1"), F.col("x2") - 1.5 * F.col("y1"), F.col("x2"), F.col("y2"), F.col("y2") + 0.25 * F.col("x1")
+                ).items()
             ),
         ),
         4,
@@ -560,7 +561,7 @@ FROM (SELECT drawing_id, least(CASE WHEN max(y1) > min(y1) THEN CAST(max(y2) - m
 @query("ras_10_align", "", None)
 def _(i):
     source, reference = _sides(i)
-    return rounded(align.align(source, reference, rotation_step=6.0, scale_step=0.1), 4)
+    return rounded(align.align(source, reference), 4)
 
 
 query("ras_11_ink_components", "", None)(lambda i: raster.ink_components(i.ink))
@@ -568,14 +569,14 @@ query(
     "ras_12_line_votes",
     "ink",
     """SELECT drawing_id, CAST(theta AS BIGINT) AS theta, CAST(floor(x * cos(radians(theta)) + y * sin(radians(theta)) + 0.5) AS BIGINT) AS rho, count(*) AS votes
-FROM ink CROSS JOIN (SELECT unnest(range(0, 180, 15)) AS theta) GROUP BY 1, 2, 3""",
-)(lambda i: rounded(raster.line_votes(i.ink, 15)))
+FROM ink CROSS JOIN (SELECT unnest(range(0, 180)) AS theta) GROUP BY 1, 2, 3""",
+)(lambda i: rounded(raster.line_votes(i.ink)))
 query(
     "ras_13_vote_peaks",
     "ink",
     """SELECT drawing_id, theta, rho, votes FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY votes DESC, theta, rho) AS place FROM (SELECT drawing_id, CAST(theta AS BIGINT) AS theta,
- CAST(floor(x * cos(radians(theta)) + y * sin(radians(theta)) + 0.5) AS BIGINT) AS rho, count(*) AS votes FROM ink CROSS JOIN (SELECT unnest(range(0, 180, 15)) AS theta) GROUP BY 1, 2, 3) WHERE votes >= 10) WHERE place <= 12""",
-)(lambda i: rounded(raster.vote_peaks(raster.line_votes(i.ink, 15), 10, 12).drop("place")))
+ CAST(floor(x * cos(radians(theta)) + y * sin(radians(theta)) + 0.5) AS BIGINT) AS rho, count(*) AS votes FROM ink CROSS JOIN (SELECT unnest(range(0, 180)) AS theta) GROUP BY 1, 2, 3) WHERE votes >= 10) WHERE place <= 12""",
+)(lambda i: rounded(raster.vote_peaks(raster.line_votes(i.ink), 10, 12).drop("place")))
 query(
     "win_05_ink_runs",
     "ink",
@@ -694,7 +695,7 @@ def _params(i):
 
 
 query("aug_03_is_safe", "segments", f"SELECT drawing_id, {safe_sql('rotation', 'tx', 'ty', 'scale')} AS safe FROM p", ctes=f"p AS ({PAR})")(
-    lambda i: _params(i).select("drawing_id", augment.is_safe(*(F.col(c) for c in augment.PARAMS)).alias("safe"))
+    lambda i: augment.with_safety(_params(i), "safe").select("drawing_id", "safe")
 )
 query(
     "aug_04_soften",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strokelake.functions import labels as L, names as N, values as V
-from strokelake.operators import catalog, ingest, lifecycle, metrics, profile, quality, segments, synth
+from strokelake.operators import catalog, ingest, lifecycle, metrics, ordered, profile, quality, segments, synth
 from strokelake.operators import split as split_ops
 from strokelake.plans.registry import query, r, rounded
 from strokelake.session import scratch_path
@@ -45,17 +45,17 @@ def _(i):
 @query(
     "src_05_labels_csv",
     "ratings",
-    """SELECT patient_id AS "Patient", task_type AS "Task", CAST(total_score AS VARCHAR) AS "Total_Score", CAST(total_score % 3 AS VARCHAR) AS "Data_Quality" FROM ratings""",
+    """SELECT row_number() OVER (ORDER BY patient_id) AS line_no, patient_id AS "Patient", task_type AS "Task", CAST(total_score AS VARCHAR) AS "Total_Score", CAST(total_score % 3 AS VARCHAR) AS "Data_Quality" FROM ratings""",
 )
 def _(i):
     path = scratch_path(i.spark, "labels")
-    i.ratings.select(
+    i.ratings.repartitionByRange(3, "patient_id").sortWithinPartitions("patient_id").select(
         F.col("patient_id").alias("Patient"),
         F.col("task_type").alias("Task"),
         F.col("total_score").alias("Total_Score"),
         (F.col("total_score") % 3).alias("Data_Quality"),
     ).write.option("header", "true").option("sep", ";").csv(path)
-    return files.read_labels_csv(i.spark, path).drop("line_no")
+    return files.read_labels_csv(i.spark, path)
 
 
 @query("src_06_augmented_set", "samples", "SELECT drawing_id, CAST(aug_idx AS BIGINT) AS aug_idx, name FROM samples WHERE split = 'val'")
@@ -247,20 +247,26 @@ query(
 )
 
 
-@query(
-    "snk_10_repair_hashes",
-    "drawings",
-    """SELECT CASE WHEN drawing_id % 11 = 0 THEN 'error' WHEN drawing_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS status, count(*) AS n
-FROM drawings WHERE source_format = 'OXFORD' GROUP BY 1""",
-)
-def _(i):
-    rows = i.drawings.select(
+def _stale_hashes(i):
+    return i.drawings.select(
         "drawing_id",
         "source_format",
         F.when(F.col("drawing_id") % 11 != 0, F.col("body")).alias("body"),
         F.when(F.col("drawing_id") % 3 == 0, "stale").otherwise(F.col("image_hash")).alias("image_hash"),
     )
-    return lifecycle.repair_hashes(rows, "OXFORD", "body", dry_run=True)[1]
+
+
+query(
+    "snk_10_repair_hashes",
+    "drawings",
+    """SELECT drawing_id, CASE WHEN drawing_id % 3 <> 0 OR (source_format = 'OXFORD' AND drawing_id % 11 <> 0) THEN image_hash ELSE 'stale' END AS image_hash FROM drawings""",
+)(lambda i: lifecycle.repair_hashes(_stale_hashes(i), "OXFORD", "body")[0].select("drawing_id", "image_hash"))
+query(
+    "snk_10_repair_counts",
+    "drawings",
+    """SELECT CASE WHEN drawing_id % 11 = 0 THEN 'error' WHEN drawing_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS status, count(*) AS n
+FROM drawings WHERE source_format = 'OXFORD' GROUP BY 1""",
+)(lambda i: lifecycle.repair_hashes(_stale_hashes(i), "OXFORD", "body", dry_run=True)[1])
 
 
 @query(
@@ -522,11 +528,10 @@ FROM (SELECT drawing_id, features_data, unnest(json_keys(features_data, '$.Custo
     "jsn_03_put_label",
     "classed",
     """SELECT drawing_id, CAST(json_extract_string(features_data, '$.Total_Score') AS DOUBLE) AS score, 1.5::DOUBLE AS quality,
- CAST(json_extract_string(features_data, '$.Custom_Class."4".label') AS BIGINT) AS label4 FROM classed WHERE features_data IS NOT NULL""",
+ CAST(json_extract_string(features_data, '$.Custom_Class."4".label') AS BIGINT) AS label4 FROM classed""",
 )
 def _(i):
-    rows = i.classed.where("features_data IS NOT NULL")
-    edited = rows.withColumn("features_data", L.put_label(F.col("features_data"), "Data_Quality", F.lit("1.5")))
+    edited = i.classed.withColumn("features_data", L.put_label(F.col("features_data"), "Data_Quality", F.lit("1.5")))
     f = F.col("features_data")
     return edited.select(
         "drawing_id",
@@ -736,8 +741,8 @@ query(
     "drawings",
     "SELECT drawing_id, uploaded_seq, (SELECT count(*) FROM drawings) AS total FROM drawings ORDER BY uploaded_seq DESC, drawing_id LIMIT 20 OFFSET 40",
 )(lambda i: lifecycle.page(i.drawings.select("drawing_id", "uploaded_seq"), [F.desc("uploaded_seq"), "drawing_id"], 40, 20))
-query("srt_03_two_keys", "drawings", "SELECT patient_id, task_type, drawing_id FROM drawings")(
-    lambda i: i.drawings.select("patient_id", "task_type", "drawing_id").orderBy("patient_id", "task_type")
+query("srt_03_two_keys", "drawings", "SELECT row_number() OVER (ORDER BY task_type, source_format, drawing_id) AS place, task_type, source_format, drawing_id FROM drawings")(
+    lambda i: ordered.numbered_sort(i.drawings.select("task_type", "source_format", "drawing_id"), "task_type", "source_format", "drawing_id")
 )
 query("srt_04_first_by", "drawings", "SELECT drawing_id, patient_id FROM drawings ORDER BY drawing_id LIMIT 1")(
     lambda i: lifecycle.first_by(i.drawings.select("drawing_id", "patient_id"), "drawing_id")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strokelake.operators.ordered import numbered
+
 RATINGS_SCHEMA = "ID string, Cond string, TotalScore double"
 LABELS_SCHEMA = "Patient string, Task string, Total_Score string, Data_Quality string"
 
@@ -55,12 +57,13 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Label lines with their order (``line_no``) inside the file."""
+    """Label lines with their order (``line_no``) over all files of the path, by file name and place in the file."""
     sep = detect_delimiter(spark, path)
     rows = spark.read.option("header", "true").option("sep", sep).csv(path)
     known = [f.split(" ")[0] for f in LABELS_SCHEMA.split(", ")]
     columns = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in known]
-    return rows.select(F.monotonically_increasing_id().alias("line_no"), *columns)
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    return numbered(rows.select(*columns, *split), [], ["_file", "_start"]).drop("_file", "_start")
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,10 +4,11 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strokelake.operators import ingest, lifecycle, raster
+from strokelake.operators import ingest, lifecycle, ml, raster
 from strokelake.session import scratch_path
 from strokelake.sources import files, sinks
 from strokelake.streaming import jobs
@@ -64,6 +65,38 @@ def test_label_file_delimiter(spark, tmp_path, text, sep):
     assert files.read_labels_csv(spark, str(path)).first()["Patient"] == "PC1"
 
 
+def test_line_numbers_over_split_files(spark, tmp_path):
+    """Three files, cut into many blocks while reading: the numbers follow the file names and the lines in them."""
+    folder, want = tmp_path / "labels", []
+    folder.mkdir()
+    for name, n in (("a.csv", 900), ("b.csv", 5), ("c.csv", 400)):
+        lines = [f"P{name[0]}{i},COPY,{i}" for i in range(n)]
+        (folder / name).write_text("\n".join(["Patient,Task,Total_Score", *lines]) + "\n")
+        want += [x.split(",")[0] for x in lines]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = files.read_labels_csv(spark, str(folder)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["Patient"] for r in got] == want and [r["line_no"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_linear_fit(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    x[:, 2] = 5.0  # constant
+    y = x[:, 0] * 2 - x[:, 1] + 7 + rng.normal(size=400) * 0.1
+    rows = [(a.tolist(), float(b)) for a, b in zip(x, y)] + [(None, 1.0), ([1.0, 2.0, 5.0], None)]
+    frame = spark.createDataFrame(rows, "features array<double>, target double").repartition(5)
+    fit = ml.fit_linear(frame, regularise=0.0)
+    design = np.c_[x[:, :2], np.ones(400)]
+    assert np.allclose([*fit.coefficients[:2], fit.intercept + 5 * fit.coefficients[2]], np.linalg.lstsq(design, y, rcond=None)[0], atol=1e-8)
+    assert fit.rows == 400
+    with pytest.raises(ValueError):
+        ml.fit_linear(frame.limit(0))
+
+
 def test_last_label_line_wins(rows):
     drawings = rows([(1, "PC1", "COPY", '{"Quality": 2}'), (2, "pc1", "copy", None)], "drawing_id bigint, patient_id string, task_type string, features_data string")
     lines = rows([(1, "pc1", "Copy", "5", ""), (2, "PC1", "COPY", "7", "x"), (3, "", "COPY", "1", ""), (4, "PC9", "COPY", "1", "")],
