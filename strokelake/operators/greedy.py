@@ -5,6 +5,11 @@ Conflicts are local here (angles and positions within a reach), so rows are put
 grid cells as wide as the reach. Per round only the best undecided row of a cell matters;
 one that beats the best of all neighbouring cells is final. A huge key is spread over its
 cells, no pairs of a cell are formed, and all keys advance together.
+
+A key with at most ``WHOLE`` rows in conflict needs no rounds: its rows pass through one task in
+order of rank, each next to the kept rows of its own and the neighbouring cells only (kept rows do
+not conflict, so a cell holds few). A chain of conflicts then costs one step a row instead of one
+round a link; only larger keys take rounds. Both ways keep the same rows.
 """
 
 from __future__ import annotations
@@ -12,11 +17,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strokelake.session import cut
 
 Conflict = Callable[[str, str], Column]
+#: Rows in conflict of one key that a task decides in order; with coordinates some megabytes.
+WHOLE = 50_000
 
 
 def with_cells(df: DataFrame, cells: Mapping[str, tuple[Column, float]]) -> DataFrame:
@@ -39,17 +47,25 @@ def greedy_keep(
     columns: Sequence[str],
     cells: Mapping[str, tuple[Column, float]],
     conflict: Conflict,
+    test: Callable[[tuple, tuple], bool] | None = None,
 ) -> DataFrame:
     """Rows kept by the greedy rule: ``keys``, ``_rank`` and ``columns`` (with their cells).
 
     ``rank`` must be unique inside a key, smaller is better. ``conflict(a, b)`` tests two rows
     whose columns carry the prefixes ``a`` and ``b``; rows in conflict lie in neighbouring cells.
+    ``test(a, b)`` is the same test on the ``columns`` of two rows as tuples; without it all keys take rounds.
     """
     keys, columns, names = list(keys), list(columns), list(cells)
     place = keys + names
     rows = with_cells(df, cells).select(*place, rank.alias("_rank"), *columns)
     open_rows = cut(_in_conflict(rows, keys, names, columns, conflict))
     kept = rows.join(open_rows.select(*keys, "_rank"), [*keys, "_rank"], "left_anti").select(*place, "_rank", *columns)
+    if test is not None:
+        large = cut(open_rows.groupBy(*keys).count().where(F.col("count") > WHOLE).select(*keys))
+        if large.isEmpty():
+            return kept.unionByName(_decided(open_rows, keys, names, columns, test))
+        kept = cut(kept.unionByName(_decided(open_rows.join(large, keys, "left_anti"), keys, names, columns, test)))
+        open_rows = cut(open_rows.join(large, keys, "left_semi").select(*open_rows.columns))
     if open_rows.isEmpty():
         return kept
     rounds = 0
@@ -73,6 +89,31 @@ def greedy_keep(
             kept = cut(kept)
 
 
+def _decided(rows: DataFrame, keys: list[str], names: list[str], columns: list[str], test: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """The kept rows of whole keys, decided one after the other in order of rank."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_rank")
+    steps = list(product((-1, 0, 1), repeat=len(names)))
+
+    def run(batches):
+        key, grid = None, {}
+        for batch in batches:
+            own = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys]))
+            cells = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]))
+            values = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]))
+            take = []
+            for k, cell, row in zip(own, cells, values):
+                if k != key:
+                    key, grid = k, {}
+                near = (grid.get(tuple(c + d for c, d in zip(cell, step))) for step in steps)
+                free = not any(test(s, row) for found in near if found for s in found)
+                take.append(free)
+                if free:
+                    grid.setdefault(cell, []).append(row)
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
+
+
 def _in_conflict(rows: DataFrame, keys: list[str], names: list[str], columns: list[str], conflict: Conflict) -> DataFrame:
     """Rows with at least one conflict; a semi-join stops at the first one it finds."""
     near = names[:2]

@@ -168,6 +168,17 @@ def _overlaps(cfg: Detector):
     return test
 
 
+def _overlaps_of(columns: list[str], cfg: Detector):
+    """The same test on two rows as tuples of ``columns``."""
+    f, x, y = (columns.index(c) for c in ("fold", "mx", "my"))
+
+    def test(a: tuple, b: tuple) -> bool:
+        gap, dx, dy = abs(a[f] - b[f]), a[x] - b[x], a[y] - b[y]
+        return not cfg.crossing_low <= gap <= cfg.crossing_high and gap < cfg.overlap_angle and math.sqrt(dx * dx + dy * dy) < cfg.overlap_distance
+
+    return test
+
+
 def _folded(seg: DataFrame) -> DataFrame:
     mx, my = G.midpoint(G.seg())
     return seg.withColumns({"mx": mx, "my": my, "fold": G.undirected_angle(G.seg_angle(G.seg()), 180)})
@@ -207,7 +218,7 @@ def suppress_overlaps(seg: DataFrame, cfg: Detector = DETECTOR) -> DataFrame:
     }
     rank = F.struct((-F.col("length")).alias("l"), F.col("line_id").alias("i"))
     columns = ["line_id", *ENDS, "mx", "my", "fold", "length"]
-    kept = greedy_keep(rows, [KEY], rank, columns, cells, _overlaps(cfg))
+    kept = greedy_keep(rows, [KEY], rank, columns, cells, _overlaps(cfg), _overlaps_of(columns, cfg))
     return kept.select(KEY, "line_id", *ENDS)
 
 
@@ -220,7 +231,7 @@ def merge_collinear(seg: DataFrame, canvas=CANVAS, angle_reach: float = 1.5, pix
     rows = seg.withColumn("turn", F.when(raw < 0, raw + 180).otherwise(raw))
     near = lambda a, b: F.abs(F.col(f"{a}turn") - F.col(f"{b}turn")) < angle_reach
     angle_cell = {"_ca": (F.col("turn"), angle_reach)}
-    leaders = greedy_keep(rows, [KEY], F.col("line_id"), ["line_id", "turn"], angle_cell, near)
+    leaders = greedy_keep(rows, [KEY], F.col("line_id"), ["line_id", "turn"], angle_cell, near, lambda a, b: abs(a[1] - b[1]) < angle_reach)
     grouped = greedy_owner(
         rows, leaders, [KEY], F.col("line_id"), ["line_id", "turn", *ENDS], angle_cell, near, ["line_id", "turn"]
     )
@@ -313,7 +324,13 @@ def merge_similar(seg: DataFrame, pixels: float = 40.0, degrees: float = 3.0) ->
 
     cells = {"_cx": (F.col("mx"), pixels), "_cy": (F.col("my"), pixels), "_ca": (F.col("fold"), degrees)}
     columns = ["line_id", *ENDS, "mx", "my", "fold"]
-    kept = greedy_keep(rows, [KEY], F.col("line_id"), columns, cells, alike)
+    f, x, y = (columns.index(c) for c in ("fold", "mx", "my"))
+
+    def alike_rows(a: tuple, b: tuple) -> bool:
+        dx, dy = a[x] - b[x], a[y] - b[y]
+        return abs(a[f] - b[f]) < degrees and math.sqrt(dx * dx + dy * dy) < pixels
+
+    kept = greedy_keep(rows, [KEY], F.col("line_id"), columns, cells, alike, alike_rows)
     owned = greedy_owner(rows, kept, [KEY], F.col("line_id"), columns, cells, alike, ["line_id"])
     return owned.groupBy(KEY, F.col("owner_line_id").alias("line_id")).agg(
         *(F.avg(c).cast("int").alias(c) for c in ENDS), count_rows().alias("pieces")

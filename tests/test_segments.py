@@ -1,11 +1,12 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strokelake.functions import geometry as G
-from strokelake.operators import align, augment, match, raster, segments, synth
+from strokelake.operators import align, augment, greedy, match, raster, segments, synth
 
 SEG = "drawing_id bigint, line_id int, x1 int, y1 int, x2 int, y2 int"
 
@@ -240,3 +241,31 @@ def test_synthesis_counts(rows, template, spark):
     assert all(r["n"] == need[r["synth_id"]] and r["d"] == r["n"] for r in per)
     assert pieces.where("x1 < 0 OR x2 > 567 OR y1 < 0 OR y2 > 273").count() == 0
     assert pieces.where("curved AND step > 0").count() > 0
+
+
+def chain(spark, n, key=1):
+    """Parallel segments, each in conflict with the next one only, in falling length."""
+    rows = [(key, i, 20 * i, 0, 20 * i + 4 * (n - i) + 10, 0) for i in range(n)]
+    rows = [(k, i, x1 - (x2 - x1) // 2, y1, x1 - (x2 - x1) // 2 + (x2 - x1), y2) for k, i, x1, y1, x2, y2 in rows]
+    return spark.createDataFrame(rows, "drawing_id long, line_id int, x1 int, y1 int, x2 int, y2 int")
+
+
+def test_long_chain_of_conflicts_takes_few_steps(spark, monkeypatch):
+    cuts = []
+    real = greedy.cut
+    monkeypatch.setattr(greedy, "cut", lambda df: (cuts.append(1), real(df))[1])
+    kept = segments.suppress_overlaps(chain(spark, 5000))
+    assert sorted(r.line_id for r in kept.collect()) == list(range(0, 5000, 2)) and len(cuts) <= 10
+
+
+def test_rounds_and_whole_drawings_keep_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(d, i, rng.randrange(60), rng.randrange(60), rng.randrange(60), rng.randrange(60)) for d in range(6) for i in range(60)]
+    seg = spark.createDataFrame(rows, "drawing_id long, line_id int, x1 int, y1 int, x2 int, y2 int").where("x1 <> x2 OR y1 <> y2")
+
+    def results():
+        return [sorted(map(tuple, f(seg).collect())) for f in (segments.suppress_overlaps, segments.merge_similar, segments.merge_collinear)]
+
+    whole = results()
+    monkeypatch.setattr(greedy, "WHOLE", 40)  # most drawings take rounds, the others do not
+    assert results() == whole
