@@ -15,8 +15,12 @@ def content_hash(original: Column, processed: Column) -> Column:
 
 
 def uniform(tag: str, seed: int, *keys: Column) -> Column:
-    """A repeatable draw in [0, 1): depends on the keys only, never on partitioning."""
-    return F.pmod(F.xxhash64(F.lit(tag), F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
+    """A repeatable draw in [0, 1): depends on the keys only, never on partitioning.
+
+    A counter-based generator: 13 hexadecimal digits of the MD5 of ``tag|seed|key|...``, so other engines draw the same.
+    """
+    text = F.concat_ws("|", F.lit(tag), F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def uniform_between(low: float, high: float, tag: str, seed: int, *keys: Column) -> Column:

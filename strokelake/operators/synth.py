@@ -48,8 +48,8 @@ def line_pool(real: DataFrame, template: DataFrame) -> DataFrame:
 
     ``line_key`` is unique inside an origin.
     """
-    a = real.select(F.lit("real").alias("origin"), F.xxhash64("drawing_id", "line_id").alias("line_key"), *ENDS)
-    b = template.select(F.lit("template").alias("origin"), F.col("ref_id").cast("long").alias("line_key"), *ENDS)
+    a = real.select(F.lit("real").alias("origin"), F.concat_ws("-", "drawing_id", "line_id").alias("line_key"), *ENDS)
+    b = template.select(F.lit("template").alias("origin"), F.col("ref_id").cast("string").alias("line_key"), *ENDS)
     return a.unionByName(b)
 
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from strokelake.config import AUGMENTATION
+from strokelake.config import AUGMENTATION, CANVAS
 from strokelake.functions import geometry as G, values as V
 from strokelake.operators import align, augment, match, profile, raster, segments, synth
 from strokelake.plans import pipelines
@@ -201,11 +201,32 @@ def _bezier_point():
     )
 
 
-@query("geo_14_jitter", "", None)
-def _(i):
-    near = synth.jitter(F.col("x1"), F.lit(2.0), F.col("line_id") == 1, "shake", 42, F.col("drawing_id"), F.col("line_id"))
-    rows = i.segments.select((F.col("line_id") == 1).alias("at_end"), (near - F.col("x1")).alias("d"))
-    return rows.groupBy("at_end").agg(F.count(F.lit(1)).alias("n"), r(F.avg("d"), 3).alias("mean"), r(F.stddev_pop("d"), 3).alias("std"))
+def draw_sql(tag: str, *keys: str) -> str:
+    """The repeatable draw of :func:`values.uniform` with seed 42."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{tag}', '42', {', '.join(keys)})), 1, 13) AS BIGINT) / {float(1 << 52):.1f}::DOUBLE)"
+
+
+def whole_sql(low: int, high: int, tag: str, *keys: str) -> str:
+    return f"CAST({low} + floor(({high} - ({low})) * {draw_sql(tag, *keys)}) AS BIGINT)"
+
+
+def normal_sql(tag: str, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {draw_sql(tag + '-r', *keys)})) * cos(2 * pi() * {draw_sql(tag + '-a', *keys)}))"
+
+
+query(
+    "geo_14_jitter",
+    "segments",
+    f"SELECT drawing_id, {LINE}, CAST(trunc(x1 + {normal_sql('shake', 'drawing_id', 'line_id')} * 2.0::DOUBLE * CASE WHEN line_id = 1 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END) AS BIGINT) AS shaken FROM segments",
+)(
+    lambda i: rounded(
+        i.segments.select(
+            "drawing_id",
+            "line_id",
+            synth.jitter(F.col("x1"), F.lit(2.0), F.col("line_id") == 1, "shake", 42, F.col("drawing_id"), F.col("line_id")).alias("shaken"),
+        )
+    )
+)
 
 
 query(
@@ -659,13 +680,18 @@ query(
 )(lambda i: rounded(augment.fan_out(i.segments.select("drawing_id").distinct())))
 
 
-@query("aug_02_draw_params", "", None)
-def _(i):
-    rows = augment.draw_params(augment.fan_out(i.segments.select("drawing_id").distinct()), 42)
-    return rows.groupBy("aug_idx").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(r(f(c), 3).alias(f"{c}_{n}") for c in augment.PARAMS for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))),
+query(
+    "aug_02_draw_params",
+    "segments",
+    f"""SELECT drawing_id, aug_idx, round({AUGMENTATION.rotation[0]}::DOUBLE + {AUGMENTATION.rotation[1] - AUGMENTATION.rotation[0]}::DOUBLE * {draw_sql('rotation', 'drawing_id', 'aug_idx')}, 6) AS rotation,
+ {whole_sql(*AUGMENTATION.shift, 'tx', 'drawing_id', 'aug_idx')} AS tx, {whole_sql(*AUGMENTATION.shift, 'ty', 'drawing_id', 'aug_idx')} AS ty,
+ round({AUGMENTATION.scale[0]}::DOUBLE + {AUGMENTATION.scale[1] - AUGMENTATION.scale[0]!r}::DOUBLE * {draw_sql('scale', 'drawing_id', 'aug_idx')}, 6) AS scale
+FROM (SELECT drawing_id, unnest(range({AUGMENTATION.variants + 1})) AS aug_idx FROM (SELECT DISTINCT drawing_id FROM segments))""",
+)(
+    lambda i: rounded(
+        augment.draw_params(augment.fan_out(i.segments.select("drawing_id").distinct()), 42).select("drawing_id", "aug_idx", *augment.PARAMS)
     )
+)
 
 
 PAR = """SELECT drawing_id, min(least(x1, x2)) AS x_min, min(least(y1, y2)) AS y_min, max(greatest(x1, x2)) AS x_max, max(greatest(y1, y2)) AS y_max,
@@ -816,16 +842,40 @@ def _pool(i):
     return synth.line_pool(i.segments, i.ref_segments)
 
 
-@query("syn_03_sample_pool", "", None)
-def _(i):
-    drawn = synth.sample_pool(_wanted(i), _pool(i), "n_real", 42, "real")
-    return drawn.groupBy("synth_id").agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("slot").alias("slots"))
+# composition of _wanted; Floyd's draws as a walk over j; the pool in seeded order
+WANTED = """wanted AS (SELECT synth_id, c, total, a AS n_real, total - a - b AS n_random
+ FROM (SELECT synth_id, c, total, CAST(trunc(total * CASE WHEN c < 0.3::DOUBLE THEN 0.8::DOUBLE WHEN c < 0.7::DOUBLE THEN 0.5 ELSE 0.3 END) AS BIGINT) AS a, CAST(trunc(total * CASE WHEN c < 0.3::DOUBLE THEN 0.2::DOUBLE ELSE 0.3 END) AS BIGINT) AS b
+ FROM (SELECT synth_id, c, CAST(trunc(5 + c * 15) AS BIGINT) AS total FROM (SELECT drawing_id AS synth_id, (drawing_id % 5) / 4.0::DOUBLE AS c FROM drawings WHERE n_chars % 61 < 20))))"""
+PLACES = f"""pool AS (SELECT row_number() OVER (ORDER BY CAST('0x' || substr(md5('42-' || line_key), 1, 7) AS BIGINT), line_key) - 1 AS place, x1, y1, x2, y2
+ FROM (SELECT concat_ws('-', drawing_id, line_id) AS line_key, x1, y1, x2, y2 FROM segments)),
+size AS (SELECT count(*) AS n FROM pool),
+walk AS (SELECT synth_id, n - least(n_real, n) AS j, n, CAST([] AS BIGINT[]) AS picked FROM wanted, size WHERE n_real > 0
+ UNION ALL SELECT synth_id, j + 1, n, list_append(picked, CASE WHEN list_contains(picked, least(CAST(floor(u * (j + 1)) AS BIGINT), j)) THEN j ELSE least(CAST(floor(u * (j + 1)) AS BIGINT), j) END)
+ FROM (SELECT *, {draw_sql('pool-real', 'synth_id', 'j')} AS u FROM walk WHERE j < n))"""
+query(
+    "syn_03_sample_pool",
+    "drawings segments",
+    """SELECT synth_id, slot, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2
+FROM (SELECT synth_id, unnest(picked) AS place, unnest(range(len(picked))) AS slot FROM walk WHERE j = n) JOIN pool USING (place)""",
+    ctes=f"{WANTED}, {PLACES}",
+    recursive=True,
+)(lambda i: rounded(synth.sample_pool(_wanted(i), _pool(i), "n_real", 42, "real").drop("complexity", "origin")))
 
 
-@query("syn_04_random_segments", "", None)
-def _(i):
-    rows = segments.measured(synth.random_segments(_wanted(i), "n_random", 42))
-    return rows.groupBy("orientation").agg(F.count(F.lit(1)).alias("n"), F.min("x1").alias("x_min"), F.max("x2").alias("x_max"), r(F.avg("length"), 3).alias("mean_length"))
+def _random_sql() -> str:
+    who = ("synth_id", "slot")
+    w, h = CANVAS.width, CANVAS.height
+    return f"""SELECT synth_id, slot, x1, y1,
+ CASE WHEN flat THEN least(x1 + {whole_sql(50, 200, 'w', *who)}, {w - 20}) WHEN up THEN x1 ELSE greatest(20, least({w - 20}, CAST(trunc(x1 + reach * cos(turn)) AS BIGINT))) END AS x2,
+ CASE WHEN flat THEN y1 WHEN up THEN least(y1 + reach, {h - 20}) ELSE greatest(20, least({h - 20}, CAST(trunc(y1 + reach * sin(turn)) AS BIGINT))) END AS y2
+FROM (SELECT *, CASE WHEN up THEN {whole_sql(20, w - 20, 'x', *who)} ELSE {whole_sql(20, w - 100, 'x', *who)} END AS x1, CASE WHEN flat THEN {whole_sql(20, h - 20, 'y', *who)} ELSE {whole_sql(20, h - 100, 'y', *who)} END AS y1,
+ {whole_sql(50, 150, 'len', *who)} AS reach, -3.141592653589793::DOUBLE + 6.283185307179586::DOUBLE * {draw_sql('turn', *who)} AS turn
+FROM (SELECT *, kind < 0.4::DOUBLE AS flat, kind >= 0.4::DOUBLE AND kind < 0.7::DOUBLE AS up FROM (SELECT *, {draw_sql('kind', *who)} AS kind FROM (SELECT synth_id, unnest(range(n_random)) AS slot FROM wanted WHERE n_random > 0))))"""
+
+
+query("syn_04_random_segments", "drawings", _random_sql(), ctes=WANTED)(
+    lambda i: rounded(synth.random_segments(_wanted(i), "n_random", 42).drop("complexity", "origin"))
+)
 
 
 @query("syn_05_modify", "", None)
