@@ -225,7 +225,8 @@ def suppress_overlaps(seg: DataFrame, cfg: Detector = DETECTOR) -> DataFrame:
 def merge_collinear(seg: DataFrame, canvas=CANVAS, angle_reach: float = 1.5, pixels: float = 5.0) -> DataFrame:
     """Join pieces of one straight line: angle groups first, then seeds and their near-collinear pieces.
 
-    Each result row spans the two farthest ends of its pieces. Output ids are the seeds' line ids.
+    Each result row spans the two farthest ends of its pieces. Output ids are the seeds' line ids; ``angle_group`` is
+    the first line of the angle group. Groups come in the order of their first lines, seeds in theirs.
     """
     raw = G.seg_angle(G.seg())
     rows = seg.withColumn("turn", F.when(raw < 0, raw + 180).otherwise(raw))
@@ -257,7 +258,12 @@ def merge_collinear(seg: DataFrame, canvas=CANVAS, angle_reach: float = 1.5, pix
     rho_cell = {"_cr": (F.col("rho"), reach)}
     seeds = greedy_keep(placed, keys, F.col("line_id"), columns, rho_cell, collinear)
     owned = greedy_owner(placed, seeds, keys, F.col("line_id"), columns, rho_cell, collinear, ["line_id"])
-    return _farthest_ends(owned.select(KEY, F.col("owner_line_id").alias("seed"), "line_id", *ENDS))
+    return _farthest_ends(owned.select(KEY, "angle_group", F.col("owner_line_id").alias("seed"), "line_id", *ENDS))
+
+
+def merge_lines(seg: DataFrame) -> DataFrame:
+    """Both merges as one job: collinear pieces first, then like lines in the order in which the first merge made them."""
+    return merge_similar(merge_collinear(seg).drop("pieces"), order=("angle_group", "line_id"))
 
 
 def _farthest_ends(pieces: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def _farthest_ends(pieces: DataFrame) -> DataFrame:
     """
     keys = [KEY, "seed"]
     facts = pieces.groupBy(*keys).agg(
-        count_rows().alias("pieces"), F.min_by(F.struct(*ENDS), F.col("line_id")).alias("own")
+        count_rows().alias("pieces"), F.min_by(F.struct(*ENDS), F.col("line_id")).alias("own"), F.min("angle_group").alias("angle_group")
     )
     ends = pieces.select(
         *keys,
@@ -304,6 +310,7 @@ def _farthest_ends(pieces: DataFrame) -> DataFrame:
     lone = (F.col("pieces") == 1) | F.col("f").isNull()
     return both.select(
         KEY,
+        "angle_group",
         F.col("seed").alias("line_id"),
         *(
             F.when(lone, F.col(f"own.{c}")).otherwise(F.col(f"f.{e}")).alias(c)
@@ -313,8 +320,9 @@ def _farthest_ends(pieces: DataFrame) -> DataFrame:
     )
 
 
-def merge_similar(seg: DataFrame, pixels: float = 40.0, degrees: float = 3.0) -> DataFrame:
-    """Average segments of like angle and near midpoint into their earliest one."""
+def merge_similar(seg: DataFrame, pixels: float = 40.0, degrees: float = 3.0, order: tuple[str, ...] = ("line_id",)) -> DataFrame:
+    """Average segments of like angle and near midpoint into their earliest one; ``order`` says which comes first."""
+    rank = F.struct(*order)
     mx, my = G.midpoint(G.seg())
     rows = seg.withColumns({"mx": mx, "my": my, "fold": G.undirected_angle(G.seg_angle(G.seg()))})
 
@@ -330,8 +338,8 @@ def merge_similar(seg: DataFrame, pixels: float = 40.0, degrees: float = 3.0) ->
         dx, dy = a[x] - b[x], a[y] - b[y]
         return abs(a[f] - b[f]) < degrees and math.sqrt(dx * dx + dy * dy) < pixels
 
-    kept = greedy_keep(rows, [KEY], F.col("line_id"), columns, cells, alike, alike_rows)
-    owned = greedy_owner(rows, kept, [KEY], F.col("line_id"), columns, cells, alike, ["line_id"])
+    kept = greedy_keep(rows, [KEY], rank, columns, cells, alike, alike_rows)
+    owned = greedy_owner(rows, kept, [KEY], rank, columns, cells, alike, ["line_id"])
     return owned.groupBy(KEY, F.col("owner_line_id").alias("line_id")).agg(
         *(F.avg(c).cast("int").alias(c) for c in ENDS), count_rows().alias("pieces")
     )

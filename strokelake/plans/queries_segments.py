@@ -324,8 +324,65 @@ query(
     ctes=SUPPRESSED,
     recursive=True,
 )(lambda i: rounded(segments.suppress_overlaps(i.segments).select("drawing_id", "line_id")))
-query("seg_02_merge_collinear", "", None)(lambda i: segments.merge_collinear(i.segments))
-query("seg_03_merge_similar", "", None)(lambda i: segments.merge_similar(i.segments))
+# first fit, row by row: the leaders or seeds so far as a list, each row goes to the first that takes it
+_NEAR = "abs(l.t - s.turn) < 1.5"
+_ACROSS = "abs((l.y2 - l.y1) * s.{x} - (l.x2 - l.x1) * s.{y} + l.x2 * l.y1 - l.y2 * l.x1) / sqrt((l.x2 - l.x1) ** 2 + (l.y2 - l.y1) ** 2)"
+_TO_LINE = "CASE WHEN l.x1 = l.x2 AND l.y1 = l.y2 THEN sqrt((s.{x} - l.x1) ** 2 + (s.{y} - l.y1) ** 2) ELSE " + _ACROSS + " END < 5"
+
+
+def _left(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> str:
+    return f"(({c[1]} - {a[1]}) * ({b[0]} - {a[0]}) > ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+
+def _cross_sql() -> str:
+    p, q, r_, s_ = ("l.x1", "l.y1"), ("l.x2", "l.y2"), ("s.x1", "s.y1"), ("s.x2", "s.y2")
+    return f"({_left(p, r_, s_)} <> {_left(q, r_, s_)} AND {_left(p, q, r_)} <> {_left(p, q, s_)})"
+
+
+def merge_ctes(source: str) -> str:
+    """Collinear merge of the segments in ``source``: ``merged`` has drawing_id, g (angle group), line_id, ends and pieces."""
+    taken = f"NOT {_cross_sql()} AND {_TO_LINE.format(x='x1', y='y1')} AND {_TO_LINE.format(x='x2', y='y2')}"
+    return f"""mk AS (SELECT drawing_id, line_id, x1, y1, x2, y2, CASE WHEN {ANG} < 0 THEN {ANG} + 180 ELSE {ANG} END AS turn, row_number() OVER (PARTITION BY drawing_id ORDER BY line_id) AS k FROM {source}),
+lead AS (SELECT drawing_id, 0::BIGINT AS k, CAST([] AS STRUCT(i INTEGER, t DOUBLE)[]) AS leaders, NULL::INTEGER AS line_id, NULL::INTEGER AS g FROM (SELECT DISTINCT drawing_id FROM mk)
+ UNION ALL SELECT drawing_id, k, CASE WHEN found IS NULL THEN list_append(leaders, {{'i': line_id, 't': turn}}) ELSE leaders END, line_id, coalesce(found.i, line_id)
+ FROM (SELECT s.drawing_id, s.k, leaders, s.line_id, s.turn, list_filter(leaders, lambda l: {_NEAR})[1] AS found FROM lead p JOIN mk s ON s.drawing_id = p.drawing_id AND s.k = p.k + 1)),
+grouped AS (SELECT m.drawing_id, g, m.line_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY m.drawing_id, g ORDER BY m.line_id) AS k FROM mk m JOIN lead USING (drawing_id, line_id)),
+sown AS (SELECT drawing_id, g, 0::BIGINT AS k, CAST([] AS STRUCT(i INTEGER, x1 INTEGER, y1 INTEGER, x2 INTEGER, y2 INTEGER)[]) AS seeds, NULL::INTEGER AS line_id, NULL::INTEGER AS seed FROM (SELECT DISTINCT drawing_id, g FROM grouped)
+ UNION ALL SELECT drawing_id, g, k, CASE WHEN found IS NULL THEN list_append(seeds, {{'i': line_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE seeds END, line_id, coalesce(found.i, line_id)
+ FROM (SELECT s.drawing_id, s.g, s.k, seeds, s.line_id, s.x1, s.y1, s.x2, s.y2, list_filter(seeds, lambda l: {taken})[1] AS found FROM sown p JOIN grouped s ON s.drawing_id = p.drawing_id AND s.g = p.g AND s.k = p.k + 1)),
+pieces AS (SELECT w.drawing_id, w.g, seed, m.line_id, x1, y1, x2, y2 FROM sown w JOIN mk m USING (drawing_id, line_id)),
+tips AS (SELECT drawing_id, seed, x1 AS x, y1 AS y, line_id * 2 AS pos FROM pieces UNION ALL SELECT drawing_id, seed, x2, y2, line_id * 2 + 1 FROM pieces),
+spans AS (SELECT p.drawing_id, p.seed, arg_max({{'x1': p.x, 'y1': p.y, 'x2': q.x, 'y2': q.y}}, {{'d': (p.x - q.x) ** 2 + (p.y - q.y) ** 2, 'p': -p.pos, 'q': -q.pos}}) AS f
+ FROM tips p JOIN tips q ON q.drawing_id = p.drawing_id AND q.seed = p.seed AND p.pos < q.pos GROUP BY 1, 2),
+merged AS (SELECT drawing_id, any_value(g) AS g, seed AS line_id, CASE WHEN count(*) = 1 THEN any_value(x1) ELSE any_value(f.x1) END AS x1, CASE WHEN count(*) = 1 THEN any_value(y1) ELSE any_value(f.y1) END AS y1,
+ CASE WHEN count(*) = 1 THEN any_value(x2) ELSE any_value(f.x2) END AS x2, CASE WHEN count(*) = 1 THEN any_value(y2) ELSE any_value(f.y2) END AS y2, count(*) AS pieces
+ FROM pieces JOIN spans USING (drawing_id, seed) GROUP BY drawing_id, seed)"""
+
+
+def similar_ctes(source: str, order: str) -> str:
+    """Similar merge of the segments in ``source`` in the given order: ``averaged``."""
+    return f"""sk AS (SELECT drawing_id, line_id, x1, y1, x2, y2, (x1 + x2) / 2.0::DOUBLE AS mx, (y1 + y2) / 2.0::DOUBLE AS my, {folded(ANG)} AS fold, row_number() OVER (PARTITION BY drawing_id ORDER BY {order}) AS k FROM {source}),
+like_walk AS (SELECT drawing_id, 0::BIGINT AS k, CAST([] AS STRUCT(i INTEGER, mx DOUBLE, my DOUBLE, fold DOUBLE)[]) AS heads, NULL::INTEGER AS line_id, NULL::INTEGER AS head FROM (SELECT DISTINCT drawing_id FROM sk)
+ UNION ALL SELECT drawing_id, k, CASE WHEN found IS NULL THEN list_append(heads, {{'i': line_id, 'mx': mx, 'my': my, 'fold': fold}}) ELSE heads END, line_id, coalesce(found.i, line_id)
+ FROM (SELECT s.drawing_id, s.k, heads, s.line_id, s.mx, s.my, s.fold, list_filter(heads, lambda l: abs(l.fold - s.fold) < 3 AND sqrt((l.mx - s.mx) * (l.mx - s.mx) + (l.my - s.my) * (l.my - s.my)) < 40)[1] AS found
+  FROM like_walk p JOIN sk s ON s.drawing_id = p.drawing_id AND s.k = p.k + 1)),
+averaged AS (SELECT w.drawing_id, head AS line_id, CAST(trunc(avg(x1)) AS BIGINT) AS x1, CAST(trunc(avg(y1)) AS BIGINT) AS y1, CAST(trunc(avg(x2)) AS BIGINT) AS x2, CAST(trunc(avg(y2)) AS BIGINT) AS y2, count(*) AS pieces
+ FROM like_walk w JOIN sk USING (drawing_id, line_id) GROUP BY 1, 2)"""
+
+
+query("seg_02_merge_collinear", "segments", f"SELECT drawing_id, CAST(g AS BIGINT) AS angle_group, {LINE}, {ENDS}, pieces FROM merged", ctes=merge_ctes("segments"), recursive=True)(
+    lambda i: rounded(segments.merge_collinear(i.segments))
+)
+query("seg_03_merge_similar", "segments", f"SELECT drawing_id, {LINE}, x1, y1, x2, y2, pieces FROM averaged", ctes=similar_ctes("segments", "line_id"), recursive=True)(
+    lambda i: rounded(segments.merge_similar(i.segments))
+)
+query(
+    "seg_02_03_merge_lines",
+    "segments",
+    f"SELECT drawing_id, {LINE}, x1, y1, x2, y2, pieces FROM averaged",
+    ctes=f"{merge_ctes('segments')}, {similar_ctes('merged', 'g, line_id')}",
+    recursive=True,
+)(lambda i: rounded(segments.merge_lines(i.segments)))
 query(
     "seg_04_score_pairs",
     "segments ref_segments",
