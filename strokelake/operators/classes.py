@@ -8,6 +8,7 @@ from strokelake.functions import labels as L
 from strokelake.functions.names import class_name, range_from_name, range_text
 from strokelake.operators.ordered import running_totals
 from strokelake.operators.profile import count_rows, explode_classes, histogram, one_row
+from strokelake.session import cut
 
 TOLERANCE = 0.15  # fixed value: allowed deviation from the equal share
 
@@ -40,43 +41,53 @@ def equal_width_classes(df: DataFrame, value: str, k: int) -> DataFrame:
 
 
 class ScoreTotals:
-    """Score counts with running totals, kept for the few probes of the class builder."""
+    """An index of the scores for all probes of the class builder: distinct scores with the counts before and after them.
+
+    The scores are read once and the index is written in score order, so a probe opens only the part in which its cut can lie.
+    The builder takes one step at a time for all class counts together: at most nine probes.
+    """
 
     def __init__(self, df: DataFrame, value: str):
         rows = df.select(F.col(value).cast("double").alias("score"))
-        self.table = running_totals(rows, "score").select(
-            "score", F.col("n").alias("cnt"), F.col("n_before").alias("before"), F.col("n_total").alias("total")
-        ).persist()
+        table = running_totals(rows, "score").select(
+            "score", F.col("n").alias("cnt"), F.col("n_before").alias("before"), (F.col("n_before") + F.col("n")).alias("after"), F.col("n_total").alias("total")
+        )
+        self.table = cut(table.sortWithinPartitions("score"))
         ends = self.table.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.max("total").alias("n")).first()
         self.lowest, self.highest, self.total = ends["lo"], ends["hi"], ends["n"]
         if not self.total:
             raise ValueError("no scores")
 
-    def next_cut(self, start: int, target: float) -> tuple[float, int] | None:
-        """First score that opens a new class when the open one began at rank ``start``."""
-        held = F.col("before") - start
-        grown = held + F.col("cnt")
-        over = grown > target * (1 + TOLERANCE)
-        near = (held >= target * (1 - TOLERANCE)) & (F.abs(held - target) <= F.abs(grown - target))
-        row = (
-            self.table.where((held > 0) & (over | near))
-            .agg(F.min(F.struct("score", "before")).alias("cut"))
-            .first()
-        )
-        return None if row["cut"] is None else (row["cut"]["score"], row["cut"]["before"])
-
-    def cuts(self, k: int) -> list[tuple[float, int]]:
-        """Start (score, rank) of each class: at most k - 1 probes, whatever the data size."""
-        starts = [(self.lowest, 0)]
-        while len(starts) < k:
-            cut = self.next_cut(starts[-1][1], self.total / k)
-            if cut is None:
-                break
-            starts.append(cut)
+    def next_cuts(self, wanted: dict[int, tuple[int, float]]) -> dict[int, tuple[float, int] | None]:
+        """Per class count: first score that opens a new class when the open one began at a rank, for a target size.
+
+        Every score that may be it ends above 85 % of the target, and the first of them begins at 115 % at most.
+        """
+        part, found = F.lit(False), []
+        for k, (start, target) in wanted.items():
+            held, grown = F.col("before") - start, F.col("after") - start
+            over = grown > target * (1 + TOLERANCE)
+            near = (held >= target * (1 - TOLERANCE)) & (F.abs(held - target) <= F.abs(grown - target))
+            part = part | ((F.col("after") > start + target * (1 - TOLERANCE)) & (F.col("before") <= start + target * (1 + TOLERANCE)))
+            found.append(F.min(F.when((held > 0) & (over | near), F.struct("score", "before"))).alias(f"cut_{k}"))
+        row = self.table.where(part).agg(*found).first()
+        return {k: None if row[f"cut_{k}"] is None else (row[f"cut_{k}"]["score"], row[f"cut_{k}"]["before"]) for k in wanted}
+
+    def cuts(self, *counts: int) -> dict[int, list[tuple[float, int]]]:
+        """Starts (score, rank) of the classes for each class count; one probe per step for all of them."""
+        starts = {k: [(self.lowest, 0)] for k in counts}
+        open_counts = set(counts)
+        while open_counts := {k for k in open_counts if len(starts[k]) < k}:
+            got = self.next_cuts({k: (starts[k][-1][1], self.total / k) for k in sorted(open_counts)})
+            for k, cut_at in got.items():
+                if cut_at is None:
+                    open_counts.discard(k)
+                else:
+                    starts[k].append(cut_at)
         return starts
 
-    def classes(self, k: int) -> DataFrame:
-        starts = self.cuts(k)
+    def classes(self, k: int, starts: list[tuple[float, int]] | None = None) -> DataFrame:
+        starts = starts or self.cuts(k)[k]
         # highest label whose start does not exceed the score; at most ten constants
         label = F.lit(0)
         for i, (score, _) in enumerate(starts):
@@ -116,7 +127,8 @@ def generate_classes(df: DataFrame, value: str, k: int, method: str = "quantile"
 def class_previews(df: DataFrame, value: str, counts: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
     """Balanced classes for several class counts over one set of running totals."""
     totals = ScoreTotals(df, value)
-    parts = [totals.classes(k).withColumn("num_classes", F.lit(k)) for k in counts]
+    starts = totals.cuts(*counts)
+    parts = [totals.classes(k, starts[k]).withColumn("num_classes", F.lit(k)) for k in counts]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

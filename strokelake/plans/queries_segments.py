@@ -642,7 +642,15 @@ def _(i):
     return rounded(align.align(source, reference), 4)
 
 
-query("ras_11_ink_components", "", None)(lambda i: raster.ink_components(i.ink))
+query(
+    "ras_11_ink_components",
+    "ink",
+    """SELECT drawing_id, count(*) FILTER (low = id) AS components FROM (SELECT drawing_id, id, min(other) AS low FROM reach GROUP BY 1, 2) GROUP BY 1""",
+    ctes="""spots AS (SELECT DISTINCT drawing_id, x, y, y * 568 + x AS id FROM ink),
+steps AS (SELECT a.drawing_id, a.id, b.id AS other FROM spots a JOIN spots b ON b.drawing_id = a.drawing_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id),
+reach AS (SELECT drawing_id, id, id AS other FROM spots UNION SELECT r.drawing_id, r.id, s.other FROM reach r JOIN steps s ON s.drawing_id = r.drawing_id AND s.id = r.other)""",
+    recursive=True,
+)(lambda i: rounded(raster.ink_components(i.ink)))
 query(
     "ras_12_line_votes",
     "ink",
