@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strokelake.llm.common import slices, texts
+from strokelake.llm.common import release_memory, slices, texts
 from strokelake.llm.tokens import STORE_LIMIT, encode_texts
 
 MAGIC = b"SLG1"
@@ -219,6 +219,7 @@ def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, s
                         yield flush()
         if held:
             yield flush()
+        release_memory()
 
     ordered.mapInArrow(run, SHARDS).write.parquet(path)
 

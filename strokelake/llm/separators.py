@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strokelake.llm.common import texts
+from strokelake.llm.common import release_memory, slices, texts
 from strokelake.llm.tokens import encode_texts
-from strokelake.llm.common import slices
 
 FLAT = "kind string, file int, block int, data binary, doc_ids array<long>"
 
@@ -60,6 +59,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
                 rest = rest[4 * block_ids * whole :]
         if rest:
             yield row("block", block, rest, None)
+        del rest
+        release_memory()
 
     source.mapInArrow(run, FLAT).write.option("compression", "zstd").parquet(path)
 
