@@ -10,8 +10,7 @@ template, wherever it lies and whatever its tag. Slots whose texts vary are cont
 from page to page too, so their tags decide for them; class and id words decide outside the article only, and inside
 it where a class word starts with the name of an advert, comments or the like. A heading is never judged by its words, a section's id
 only as a whole.
-Where pages have article or main elements these are the article, all of them; else every content slot is kept whose own
-texts are not mostly outside.
+Where a page has article or main elements these are the article, all of them; else every content slot is kept.
 
 Alignment takes tokens that occur once on both sides as anchors and fills the gaps in one pass, so its time grows with the
 length of the streams; merging in pairs reads every stream some log2(pages) times.
@@ -431,11 +430,6 @@ def extract_group(pages: list[str]) -> list[str]:
     wrapper, places = aligned([(list(t), n) for t, n in counts.items()])
     placed = dict(zip(counts, places))
     inner = [[(place[at], text, path, out) for at, text, path, out in blocks] for tokens, blocks in parsed for place in [placed[tuple(tokens)]]]
-    seen, outside = Counter(), Counter()
-    for blocks in inner:
-        for slot, _, _, out in blocks:
-            seen[slot] += 1
-            outside[slot] += out
     fixed = template_texts([kept for blocks in inner if (kept := [(slot, text) for slot, text, _, out in blocks if not out])], wrapper)
     texts = []
     for blocks in inner:
@@ -444,7 +438,7 @@ def extract_group(pages: list[str]) -> list[str]:
             "\n\n".join(
                 text
                 for slot, text, path, out in blocks
-                if not out and (slot, text) not in fixed and (in_article(path) if article else 2 * outside[slot] <= seen[slot])
+                if not out and (slot, text) not in fixed and (in_article(path) or not article)
             )
         )
     return [texts[sources[source]] for source in pages]
