@@ -16,7 +16,7 @@ Alignment takes tokens that occur once on both sides as anchors and fills the ga
 length of the streams; merging in pairs reads every stream some log2(pages) times.
 
 A host is one group up to ``GROUP`` pages and ``GROUP_BYTES`` of html; a larger one is dealt to several groups by page, each with
-a wrapper of its own, so no task holds a large host.
+a wrapper of its own, so no task holds a large host; the number of tasks follows the bytes of all pages.
 
 Defined cases: null html counts as empty and gives the empty text; a null url is the host ''; hosts of fewer than
 ``LEAST_PAGES`` different pages have no template texts (``LEAST_ITEMS`` in repeated groups), tags and words alone decide there; repeated rows give equal results and count as
@@ -34,10 +34,12 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strokelake.llm.common import written
 from strokelake.operators.keyed import measured
 
 GROUP = 1000
 GROUP_BYTES = 16 << 20
+TASK_BYTES = 32 << 20
 LEAST_PAGES = 4  # different pages that share the text of a slot before it can be template
 LEAST_ITEMS = 25  # the same in a repeated group, whose items are the paragraphs of an article as well
 NEARLY_ALL = 0.9  # share of the different pages of a group
@@ -449,10 +451,12 @@ def extract(pages: DataFrame) -> DataFrame:
     source = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host")
     )
-    sizes = source.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("n_bytes"))
+    sizes = written(source.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("n_bytes")), "hosts")
+    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(4 * pages.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES + 1)
     large = sizes.select("host", F.ceil(F.greatest(F.col("n") / GROUP, F.col("n_bytes") / GROUP_BYTES)).alias("groups")).filter("groups > 1")
     part = F.pmod(F.xxhash64("url", "page_id", F.xxhash64("html")), F.coalesce("groups", F.lit(1))).cast("int")
-    dealt = source.join(measured(large), "host", "left").withColumn("part", part).drop("groups").repartition("host", "part")
+    dealt = source.join(measured(large), "host", "left").withColumn("part", part).drop("groups").repartition(tasks, "host", "part")
 
     def run(group: pa.Table) -> pa.Table:
         texts = extract_group(group.column("html").to_pylist())
