@@ -4,8 +4,9 @@ A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The
 never exceeds the Hamming distance of the fingerprints, so fingerprints within ``radius`` bits are within ``radius`` of each
 other in the embedding. The range join lays a grid over it: the segments form ``g`` groups of axes; a distance of ``radius``
 spread over ``g`` groups leaves at least ``g - radius`` groups without any difference, so each choice of ``g - radius`` groups gives one
-grid, its cell being the counts of these groups. Candidates of a cell pass the Manhattan bound on byte counts, then the
-exact Hamming distance. No link is lost; ``g`` only changes the cost (``grid_groups`` estimates it for very large tables).
+grid, its cell being the counts of these groups. Candidates of a cell, whatever its size, pass the Manhattan bound on all segments, then the
+exact Hamming distance. No link is lost; ``g`` only changes the cost: it is six for radius 4 and grows with the number of
+different fingerprints beyond some millions (``grid_groups``), so that the candidates of one fingerprint stay few.
 
 Equal fingerprints are one node. A cell with more than ``CELL`` nodes is cut into blocks; each pair of blocks
 is a group of its own, so no task holds a large cell, and a group returns a spanning forest of its links, never all pairs.
@@ -97,7 +98,7 @@ def grid_groups(n: int, radius: int) -> int:
         same = SAME_COUNT ** (SEGMENTS * (g - radius) / g)
         return grids * (n + n * n / 2 * same / 50)
 
-    return min(range(radius + 1, min(SEGMENTS, radius + 8) + 1), key=cost)
+    return min(range(min(SEGMENTS, radius + 2), min(SEGMENTS, radius + 8) + 1), key=cost)
 
 
 def cell_rows(prints: np.ndarray, groups: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +120,30 @@ def cell_rows(prints: np.ndarray, groups: int, radius: int) -> tuple[np.ndarray,
     return grid, np.array(cells).view(np.int64)
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Manhattan bound on the bit counts of the eight bytes, then the exact distance."""
-    left = np.bitwise_count(a.view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    right = np.bitwise_count(b.view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    near = np.abs(left - right).sum(1) <= radius
-    near[near] = np.bitwise_count(a[near] ^ b[near]) <= radius
+def unary(prints: np.ndarray) -> np.ndarray:
+    """The embedding in one word: each segment's count as 00, 01 or 11, so that unequal bits of two words are their Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    first, second = prints & low, (prints >> np.uint64(1)) & low
+    return (first | second) | ((first & second) << np.uint64(1))
+
+
+def within(a: np.ndarray, b: np.ndarray, coded_a: np.ndarray, coded_b: np.ndarray, radius: int) -> np.ndarray:
+    """Manhattan bound on the counts of the 32 segments, then the exact distance. One side may be a single fingerprint."""
+    near = np.bitwise_count(coded_a ^ coded_b) <= radius
+    near[near] = np.bitwise_count((a ^ b)[near]) <= radius
     return near
 
 
 def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected in one group: each fingerprint is reached once."""
     open_ = np.arange(len(prints))
+    coded = unary(prints)
     left, right = [], []
     while len(open_):
         queue, open_ = [int(open_[0])], open_[1:]
         while queue and len(open_):
             i = queue.pop()
-            near = np.bitwise_count(prints[open_] ^ prints[i]) <= radius
+            near = within(prints[open_], prints[i], coded[open_], coded[i], radius)
             if near.any():
                 found = open_[near]
                 left.append(np.full(len(found), i))
@@ -155,11 +162,12 @@ def group_links(starts: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
     small = np.repeat((size > 1) & (size <= PAIRWISE), size)
     place = np.arange(len(prints))
     ends = np.repeat(starts[1:], size)
+    coded = unary(prints)
     for d in range(1, PAIRWISE):
         i = place[small & (place + d < ends)]
         if not len(i):
             break
-        i = i[within(prints[i], prints[i + d], radius)]
+        i = i[within(prints[i], prints[i + d], coded[i], coded[i + d], radius)]
         a.append(prints[i])
         b.append(prints[i + d])
     for g in np.flatnonzero(size > PAIRWISE):
@@ -230,7 +238,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, groups: int | None = None)
     """doc_id, fingerprint and component_id of every row."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = written(components(links(nodes, radius, groups or radius + 2)), "roots")
+    groups = groups or grid_groups(nodes.count(), radius)
+    roots = written(components(links(nodes, radius, groups)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = written(named, "named")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
